@@ -12,6 +12,7 @@ do not matter: each row is counted by itself.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -21,10 +22,21 @@ from pyspark.sql import functions as F
 
 from turnmill.llm.common import table
 
-CACHE, BATCH_BYTES, LONGEST_CACHED = 400_000, 1 << 20, 64
+CACHE, BATCH_BYTES, LONGEST_CACHED = 900_000, 1 << 20, 64
 LIMIT = 2048
 _LED = re.compile(rb"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
-_ODD = re.compile(rb"[\x1c-\x1f]")
+#: A lower-case word with marks after it that form one piece of their own, and none that open a contraction or special string.
+_PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!#-&(-/:;=@\[-`{}~]*)")
+_LATIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+_WORD_LAYOUT = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    None,
+)
 
 
 class Counter:
@@ -39,8 +51,13 @@ class Counter:
             tok = Tokenizer.from_file(path)
             tok.no_truncation()
             tok.no_padding()
-            self.encode = lambda texts: [len(e) for e in tok.encode_batch(texts, add_special_tokens=False)]
-            self.dropped = "\"behavior\":\"Removed\"" in re.sub(r"\s", "", open(path, encoding="utf-8").read(20_000)) and len(tok.encode("a b", add_special_tokens=False)) == 2
+            self.encode = lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            # lower-cased words and marks apart, white space gone: the one layout where pieces are words
+            self.dropped = (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"]) == _WORD_LAYOUT
+            if self.dropped:
+                self.model = tok.model
         elif path.endswith(".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -56,18 +73,22 @@ class Counter:
             self.encode, self.dropped = lambda texts: [len(x) for x in sp.encode([t[1:] if t[:1] == "\0" else t for t in texts], num_threads=1)], False
             self.mark = True
 
-    mark = False
+    mark, model = False, None
 
     def pieces(self, text: bytes) -> list[bytes]:
         if self.dropped:
-            return text.split()
+            return text.lower().split() if self.model is not None else text.split()
         found = _LED.split(text) if text else []
         return found[:1] + [b"\0" + x[1:] for x in found[1:]] if self.mark else found
 
     def _learn(self, new: list[bytes]) -> dict[bytes, int]:
+        """Lengths of unseen pieces; what the model may be asked directly skips the library's per-text overhead."""
         learned, call, size = {}, [], 0
         for piece in [*new, None]:
             if piece is not None:
+                if self.model is not None and (m := _PLAIN.fullmatch(piece)) and (word := m[1].decode("utf-8", "replace").lower()) and _LATIN.fullmatch(word):
+                    learned[piece] = len(self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))) + (m[2] != b"" and self.mark_length(m[2]))
+                    continue
                 call.append(piece)
                 size += len(piece)
             if call and (piece is None or size >= BATCH_BYTES):
@@ -75,26 +96,26 @@ class Counter:
                 call, size = [], 0
         return learned
 
+    def mark_length(self, marks: bytes) -> int:
+        if marks not in self.cache:
+            self.cache[marks] = self.encode([marks.decode()])[0]
+        return self.cache[marks]
+
     def count(self, texts: list[bytes]) -> list[int]:
-        out, start = [], 0
+        out, start, cache = [], 0, self.cache
         while start < len(texts):
             end, size = start, 0
             while end < len(texts) and (end == start or size + len(texts[end]) <= 8 * BATCH_BYTES):
                 size += len(texts[end])
                 end += 1
             cut = [self.pieces(t) for t in texts[start:end]]
-            cache = self.cache
             new = {x for words in cut for x in words if x not in cache}
-            learned = self._learn(list(new))
-            if len(cache) + len(learned) > CACHE:
+            cache.update(self._learn(list(new)))
+            out.extend(sum(map(cache.__getitem__, words)) for words in cut)
+            for long in [x for x in new if len(x) > LONGEST_CACHED]:
+                del cache[long]
+            if len(cache) > CACHE:
                 cache.clear()
-                again = {x for words in cut for x in words} - learned.keys()
-                learned |= self._learn(list(again))
-            short = {k: v for k, v in learned.items() if len(k) <= LONGEST_CACHED}
-            if len(short) <= CACHE:
-                cache.update(short)
-            look = {**cache, **learned} if len(short) < len(learned) or len(short) > CACHE else cache
-            out.extend(sum(map(look.__getitem__, words)) for words in cut)
             start = end
         return out
 
