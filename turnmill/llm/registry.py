@@ -1,7 +1,7 @@
 """All queries of this package and, where SQL can express them, their SQL."""
 
-from turnmill.llm import linededup, mixing, quality, simhash, tokens
+from turnmill.llm import decontaminate, linededup, mixing, quality, simhash, tokens
 
-_MODULES = (quality, tokens, simhash, linededup, mixing)
+_MODULES = (quality, tokens, simhash, linededup, mixing, decontaminate)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
