@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -115,16 +115,24 @@ def strip_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; a lambda inside body that mentions the bare expression would compute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def type_token_ratio(text: Column) -> Column:
-    w = words(F.lower(text))
-    return F.coalesce(F.try_divide(F.size(F.array_distinct(w)).cast("double"), F.size(w)), F.lit(0.0))
+    ratio = let(words(F.lower(text)), lambda w: F.try_divide(F.size(F.array_distinct(w)).cast("double"), F.size(w)))
+    return F.coalesce(ratio, F.lit(0.0))
+
+
+def ngrams(w: Column, n: int) -> Column:
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_ratio(text: Column) -> Column:
     """Distinct share of word trigrams; 1 for texts of under three words."""
-    w = words(F.lower(text))
-    grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")))
-    return F.when(F.size(w) < 3, 1.0).otherwise(F.try_divide(F.size(F.array_distinct(grams)).cast("double"), F.size(grams)))
+    grams = let(words(F.lower(text)), lambda w: ngrams(w, 3))
+    return F.coalesce(let(grams, lambda g: F.try_divide(F.size(F.array_distinct(g)).cast("double"), F.size(g))), F.lit(1.0))
 
 
 def stars(p: Column) -> Column:

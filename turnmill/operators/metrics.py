@@ -26,16 +26,22 @@ def entity_prf(pred: Column, ref: Column) -> tuple[Column, Column, Column]:
 
 def bleu(pred: Column, ref: Column, order: int = 2) -> Column:
     """Sentence score: brevity penalty times the geometric mean of clipped n-gram precisions with add-one smoothing above one word."""
-    p, r = T.words(F.lower(pred)), T.words(F.lower(ref))
-    total = F.lit(0.0)
-    for n in range(1, order + 1):
-        grams = lambda w, n=n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        a, b = grams(p), grams(r)
-        clipped = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
-        add = 0.0 if n == 1 else 1.0
-        total = total + F.ln(F.when(clipped + add > 0, F.try_divide(clipped + F.lit(add), F.size(a) + F.lit(add)))) / order
-    brevity = F.least(F.lit(0.0), 1 - F.try_divide(F.size(r).cast("double"), F.size(p)))
-    return F.when((F.size(p) == 0) & (F.size(r) == 0), 1.0).otherwise(F.coalesce(F.exp(total + brevity), F.lit(0.0)))
+    def of(p: Column, r: Column) -> Column:
+        def precision(n: int) -> Column:
+            add = 0.0 if n == 1 else 1.0
+
+            def clipped(a: Column, b: Column) -> Column:
+                count = lambda g: F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g)))
+                found = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + count(g)) + F.lit(add)
+                return F.ln(F.when(found > 0, F.try_divide(found, F.size(a) + F.lit(add))))
+
+            return T.let(T.ngrams(p, n), lambda a: T.let(T.ngrams(r, n), lambda b: clipped(a, b)))
+
+        total = sum((precision(n) for n in range(1, order + 1)), F.lit(0.0)) / order
+        brevity = F.least(F.lit(0.0), 1 - F.try_divide(F.size(r).cast("double"), F.size(p)))
+        return F.when((F.size(p) == 0) & (F.size(r) == 0), 1.0).otherwise(F.coalesce(F.exp(total + brevity), F.lit(0.0)))
+
+    return T.let(T.words(F.lower(pred)), lambda p: T.let(T.words(F.lower(ref)), lambda r: of(p, r)))
 
 
 def style_compliant(style: Column, n: Column, hedges: Column, kind: Column) -> Column:
