@@ -27,23 +27,31 @@ def dimensions(weights: dict = CORPUS_WEIGHTS) -> list[str]:
     return list(dict.fromkeys(d for ws in weights.values() for d in ws))
 
 
-def clamped(raw: Column, key: str) -> Column:
-    """A score of the JSON object: 1 if the key is absent, 0 if its value is no number, else held within 1..5."""
-    value = F.get_json_object(raw, f"$.{key}")
-    there = F.array_contains(F.json_object_keys(raw), key)
-    number = value.try_cast("double")
-    return F.when(~there, 1.0).when(number.isNull() | F.isnan(number), 0.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(5.0), number)))
+def clamped(scores: Column, key: str) -> Column:
+    """A score of the parsed object: 1 if the key is absent, 0 if its value is no number, else held within 1..5."""
+    number = F.element_at(scores, F.lit(key)).try_cast("double")
+    return F.when(~F.map_contains_key(scores, F.lit(key)), 1.0).when(number.isNull() | F.isnan(number), 0.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(5.0), number)))
 
 
 def score(responses: DataFrame, weights: dict = CORPUS_WEIGHTS, raw: str = "raw_json", kind: str = "dataset_type", suffix: str = "_score") -> DataFrame:
-    """responses with parse_error, one column per dimension (null where the type lacks it or the response is unreadable) and overall_score."""
-    text = T.strip_fences(F.coalesce(F.col(raw), F.lit("")))
-    rows = responses.withColumn("__j", text).withColumn("parse_error", F.json_object_keys("__j").isNull() | F.array_contains(F.coalesce(F.json_object_keys("__j"), F.array().cast("array<string>")), "_parse_error"))
+    """responses with parse_error, one column per dimension (null where the type lacks it or the response is unreadable) and overall_score.
+
+    The response is parsed once and bound, so that later filters on a score do not multiply the expression.
+    """
+    dims = dimensions(weights)
     type_ = F.when(F.col(kind).isin(*weights), F.col(kind)).otherwise("success")
     uses = lambda d: type_.isin(*[t for t, ws in weights.items() if d in ws])
-    rows = rows.withColumns({f"{d}{suffix}": F.when(~F.col("parse_error") & uses(d), clamped(F.col("__j"), f"{d}_score")) for d in dimensions(weights)})
-    overall = F.coalesce(*[F.when(type_ == t, sum((F.lit(w) * F.coalesce(f"{d}{suffix}", F.lit(0.0)) for d, w in ws.items()), F.lit(0.0))) for t, ws in weights.items()])
-    return rows.withColumn("overall_score", F.when(F.col("parse_error"), 0.0).otherwise(T.rounded(overall, 3))).drop("__j")
+
+    def judged(parsed: Column) -> Column:
+        bad = parsed.isNull() | F.coalesce(F.map_contains_key(parsed, F.lit("_parse_error")), F.lit(False))
+        at = lambda v, d: F.get(v, F.lit(dims.index(d)))
+        overall = lambda v: F.coalesce(*[F.when(type_ == t, sum((F.lit(w) * F.coalesce(at(v, d), F.lit(0.0)) for d, w in ws.items()), F.lit(0.0))) for t, ws in weights.items()])
+        whole = lambda v: T.let(overall(v), lambda x: F.struct(bad.alias("parse_error"), *[at(v, d).alias(f"{d}{suffix}") for d in dims], F.when(bad, 0.0).otherwise(T.rounded(x, 3)).alias("overall_score")))
+        return T.let(F.array(*[F.when(~bad & uses(d), clamped(parsed, f"{d}_score")) for d in dims]), whole)
+
+    parsed = F.from_json(T.strip_fences(F.coalesce(F.col(raw), F.lit(""))), "map<string,string>")
+    rows = responses.withColumn("__s", T.let(parsed, judged))
+    return rows.select(*[rows[c] for c in responses.columns], "__s.*")
 
 
 def with_cache(conversations: DataFrame, cache: DataFrame, keys: list[str], force: bool = False) -> DataFrame:

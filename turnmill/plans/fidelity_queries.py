@@ -30,7 +30,7 @@ _VARIANT = "CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN '{k}_{s}'" for i, (s,
 #: rows: prediction pairs; s: one row per variant, conversation and side; w: both sides on one row with deltas and flags.
 _ROWS = rf"""
 h AS ({B.HEADER_SQL}), rows AS (
-  SELECT {_VARIANT} AS model_variant, u.conv_id AS generation_idx, u.turn AS example_idx, trim(u.text) AS ref, coalesce(array_to_string((list_filter(string_split_regex(a.text, '\s+'), lambda w: w <> ''))[1:24], ' '), '') AS pred
+  SELECT {_VARIANT.replace('conv_id', 'u.conv_id')} AS model_variant, u.conv_id AS generation_idx, u.turn AS example_idx, trim(u.text) AS ref, coalesce(array_to_string((list_filter(string_split_regex(a.text, '\s+'), lambda w: w <> ''))[1:24], ' '), '') AS pred
   FROM conversations u LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'
 ), turns AS (SELECT model_variant, generation_idx, example_idx, side, text, lower(text) AS lc, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w
   FROM (SELECT model_variant, generation_idx, example_idx, 'pred' AS side, trim(pred) AS text FROM rows UNION ALL SELECT model_variant, generation_idx, example_idx, 'ref', ref FROM rows) WHERE text <> '')
@@ -196,8 +196,8 @@ def judge_overall_by_type(spark, sf):
     return s.withColumn("label", judge.quality_label(F.col("mean")))
 
 
-@query(f"""WITH {B.EVALUATED_SQL}, {_J}, b AS (SELECT coalesce(e.hedge_rate, 0) - coalesce(e.certainty_rate, 0) AS x1, coalesce(e.facts1, 0)::DOUBLE AS x2, coalesce(e.breadth, FALSE)::INT::DOUBLE AS x3, js.uncertainty_score AS y1, js.info_drip_score AS y2, js.depth_first_score AS y3 FROM e JOIN js USING (conv_id) WHERE NOT parse_error),
-p AS (SELECT unnest([{{'p': 'hedge_minus_certainty ~ uncertainty_score', 'x': {r('x1', 3)}, 'y': y1}}, {{'p': 'info_density_score ~ info_drip_score', 'x': {r('x2 / 3', 3)}, 'y': y2}}, {{'p': 'breadth_first_flag ~ depth_first_score', 'x': x3, 'y': y3}}]) AS z FROM b),
+@query(f"""WITH {B.EVALUATED_SQL}, {_J}, both_ AS (SELECT coalesce(e.hedge_rate, 0) - coalesce(e.certainty_rate, 0) AS x1, coalesce(e.facts1, 0)::DOUBLE AS x2, coalesce(e.breadth, FALSE)::INT::DOUBLE AS x3, js.uncertainty_score AS y1, js.info_drip_score AS y2, js.depth_first_score AS y3 FROM e JOIN js USING (conv_id) WHERE NOT parse_error),
+p AS (SELECT unnest([{{'p': 'hedge_minus_certainty ~ uncertainty_score', 'x': {r('x1', 3)}, 'y': y1}}, {{'p': 'info_density_score ~ info_drip_score', 'x': {r('x2 / 3', 3)}, 'y': y2}}, {{'p': 'breadth_first_flag ~ depth_first_score', 'x': x3, 'y': y3}}]) AS z FROM both_),
 g AS (SELECT z.p AS pair, count(*) AS n, CASE WHEN count(*) >= 4 THEN {r('CASE WHEN stddev_pop(z.x) * stddev_pop(z.y) > 0 THEN covar_pop(z.x, z.y) / (stddev_pop(z.x) * stddev_pop(z.y)) ELSE 0 END', 3)} END AS r FROM p WHERE z.x IS NOT NULL AND z.y IS NOT NULL GROUP BY z.p)
 SELECT *, CASE WHEN abs(r) >= 0.5 THEN 'Strong' WHEN abs(r) >= 0.3 THEN 'Moderate' ELSE 'Weak' END || CASE WHEN r >= 0 THEN ' positive' ELSE ' negative' END AS label FROM g""")
 def l1_l2_pearson(spark, sf):
