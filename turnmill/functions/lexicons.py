@@ -1,143 +1,98 @@
-"""Named phrase lists, one per purpose; lists of one kind for different purposes differ and are never merged."""
-
-from __future__ import annotations
+"""Named phrase lists, one per purpose; lists of one kind for different purposes differ and are never merged.
 
+Fixed values: every phrase and its place in its list must be as they are, since matched phrases are reported in list order.
+"""
 
-def _phrases(text: str) -> tuple[str, ...]:
-    return tuple(p.strip() for p in " ".join(text.split()).split("|"))
-
+from __future__ import annotations
 
-HEDGE = _phrases("""
-    could be | honestly | i believe | i don't know | i dont know | i guess | i think | i'm not certain | i'm not
-    sure | idk | im not certain | im not sure | kind of | maybe | might | not 100% | not certain | not sure | not
-    totally sure | perhaps | possibly | probably | sort of
-""")
-CERTAINTY = _phrases("""
-    100% | absolutely | certainly | clearly | definitely | for sure | no doubt | no question | obviously |
-    undoubtedly | without a doubt
-""")
-PROMISE = _phrases("""
-    i assure | i guarantee | i promise | i will | i'll ensure | i'll make sure | rest assured | you can count on
-""")
-MILD = _phrases("""
-    all i want | already explained | already mentioned | already said | already told | come on | just want | look |
-    seriously | that's why | thats why
-""")
-STRONG = _phrases("""
-    attorney | cfpb | close my account | closing my account | complaint | escalate | how is this possible | i can't
-    believe | i cannot believe | lawyer | legal | manager | not acceptable | outrageous | ridiculous | sue |
-    supervisor | this is insane | unacceptable
-""")
-JARGON = _phrases("""
-    billing error | chargeback | dispute resolution | fcba | fraud claim | provisional credit | reg e | regulation
-    e | zero liability
-""")
-RULE_PUSHBACK = _phrases("""
-    actually | are you sure | but i thought | can you double check | hold on | i believe | i checked | i don't
-    think so | i don't think that's right | i heard | i looked it up | i read | i thought | i was told | is that
-    correct | not what i | pretty sure | shouldn't it be | that doesn't seem right | that doesn't sound right |
-    that seems wrong | that's not what | wait,
-""")
-FIDELITY_PUSHBACK = _phrases("""
-    according to | actually, | are you sure | but earlier | hold on | i believe it's | i don't think that's | i
-    read that | i thought | i was told | i'm pretty sure | i've read | isn't it | no, it's | reg e | regulation e |
-    that can't be right | that contradicts | that doesn't sound right | that's incorrect | that's not right |
-    that's not what | that's wrong | wait, | you just said | you said earlier
-""")
-LABEL_PUSHBACK = _phrases("""
-    according to | actually, | are you sure | but earlier | hold on | i believe it's | i don't think that's | i
-    thought | i was told | i've read | no, it's | reg e | regulation e | that can't be right | that contradicts |
-    that doesn't sound right | that's incorrect | that's not right | that's wrong | wait, | you just said | you
-    said earlier
-""")
-DROPOUT_EXIT = _phrases("""
-    another way | call the bank | call you | can't help me | closing this | come in person | done here | ending
-    this | find another | forget it | forget the whole | forget this | go to a branch | going to call | got to go |
-    have to go | i give up | i'll call | i'm done | in person instead | need to go | never mind | nevermind | not
-    going to work | not worth it | real person | sorry have to | speak to a human | speak to someone | talk to a
-    human | this is ridiculous | this is useless | try another way | try somewhere else | unable to help | visit a
-    branch | waste of time | will call
-""")
-ROLE_CONFUSION = _phrases("""
-    feel free to | how can i assist | how can i help | i apologize for | i can help you | i understand your concern
-    | i would be happy to | i'd be happy to | i'm here to help | i'm sorry for the inconvenience | is there
-    anything else | let me assist | let me help | please don't hesitate | thank you for calling | thank you for
-    contacting
-""")
+# Fixed values.
+HEDGE = (
+    "not sure", "i'm not sure", "im not sure", "i think", "i believe", "maybe", "perhaps", "possibly", "probably", "might", "could be",
+    "i guess", "i don't know", "i dont know", "idk", "honestly", "sort of", "kind of", "not certain", "not 100%", "not totally sure",
+    "i'm not certain", "im not certain",
+)
+CERTAINTY = ("definitely", "absolutely", "certainly", "for sure", "100%", "no question", "without a doubt", "clearly", "obviously", "undoubtedly", "no doubt")
+PROMISE = ("i will", "i'll make sure", "i guarantee", "i promise", "i'll ensure", "you can count on", "rest assured", "i assure")
+MILD = ("look", "already said", "already told", "already mentioned", "already explained", "come on", "seriously", "just want", "all i want", "that's why", "thats why")
+STRONG = (
+    "unacceptable", "ridiculous", "outrageous", "i can't believe", "i cannot believe", "how is this possible", "this is insane",
+    "close my account", "closing my account", "complaint", "cfpb", "lawyer", "attorney", "legal", "sue", "escalate", "manager", "supervisor", "not acceptable",
+)
+JARGON = ("provisional credit", "chargeback", "reg e", "regulation e", "billing error", "fraud claim", "dispute resolution", "zero liability", "fcba")
+RULE_PUSHBACK = (
+    "actually", "i don't think that's right", "i thought", "are you sure", "that doesn't sound right", "that's not what", "wait,", "hold on",
+    "but i thought", "i was told", "i believe", "shouldn't it be", "is that correct", "can you double check", "that doesn't seem right",
+    "pretty sure", "i read", "i heard", "i checked", "i looked it up", "not what i", "i don't think so", "that seems wrong",
+)
+FIDELITY_PUSHBACK = (
+    "that's not right", "that's incorrect", "are you sure", "i thought", "i was told", "i've read", "according to", "that doesn't sound right",
+    "wait,", "hold on", "actually,", "i don't think that's", "you said earlier", "but earlier", "you just said", "that contradicts",
+    "that can't be right", "that's wrong", "no, it's", "i believe it's", "reg e", "regulation e", "that's not what", "isn't it", "i'm pretty sure", "i read that",
+)
+LABEL_PUSHBACK = (
+    "that's not right", "that's incorrect", "are you sure", "i thought", "i was told", "i've read", "according to", "that doesn't sound right",
+    "wait,", "hold on", "actually,", "i don't think that's", "you said earlier", "but earlier", "you just said", "that contradicts",
+    "that can't be right", "that's wrong", "no, it's", "i believe it's", "reg e", "regulation e",
+)
+DROPOUT_EXIT = (
+    "forget it", "never mind", "nevermind", "forget this", "forget the whole", "going to call", "i'll call", "will call", "call the bank", "call you",
+    "visit a branch", "go to a branch", "come in person", "in person instead", "waste of time", "this is useless", "not worth it", "this is ridiculous",
+    "done here", "closing this", "ending this", "i'm done", "i give up", "have to go", "got to go", "sorry have to", "need to go",
+    "try another way", "try somewhere else", "find another", "another way", "speak to a human", "talk to a human", "speak to someone", "real person",
+    "not going to work", "can't help me", "unable to help",
+)
+ROLE_CONFUSION = (
+    "i'd be happy to", "i would be happy to", "how can i assist", "how can i help", "let me help", "let me assist", "i can help you",
+    "i'm here to help", "is there anything else", "feel free to", "please don't hesitate", "i understand your concern",
+    "i apologize for", "i'm sorry for the inconvenience", "thank you for calling", "thank you for contacting",
+)
 CONCERNS = {
-    "card_action": _phrases("""
-        block | cancel | card replaced | close the card | lock | new card | replace | shut it down
-    """),
-    "dispute": _phrases("""
-        charge i | charge on | did not authorize | did not make | didn't authorize | didn't make | dispute | do not
-        recognize | don't recognize | fraud | fraudulent | never made | not mine | transaction i | unauthorized
-    """),
-    "refund_credit": _phrases("""
-        credit back | get it back | get my money | money back | provisional | provisional credit | refund | reimburse |
-        when do i get
-    """),
-    "timeline_status": _phrases("""
-        estimated time | how long | how many days | status | timeline | update | what's the eta | whats the eta | when
-        will
-    """),
+    "dispute": (
+        "dispute", "didn't make", "did not make", "don't recognize", "do not recognize", "didn't authorize", "did not authorize",
+        "unauthorized", "fraudulent", "fraud", "charge i", "charge on", "transaction i", "not mine", "never made",
+    ),
+    "card_action": ("cancel", "lock", "block", "replace", "new card", "card replaced", "shut it down", "close the card"),
+    "refund_credit": ("money back", "refund", "get it back", "reimburse", "provisional credit", "provisional", "credit back", "when do i get", "get my money"),
+    "timeline_status": ("how long", "when will", "how many days", "timeline", "status", "update", "what's the eta", "whats the eta", "estimated time"),
 }
 DROPOUT = {
-    "distraction": _phrases("""
-        back later | brb | busy | catch you later | deal with this later | got to go | gotta go | have to go | have to
-        run | something came up | talk later
-    """),
-    "escalation_exit": _phrases("""
-        done here | escalate | going elsewhere | going to call | human | manager | not dealing with this | real person
-        | speak to someone | speaking to someone else | supervisor
-    """),
-    "impatience": _phrases("""
-        bye | can't do this | done with this | forget it | give up | goodbye | later | never mind | not worth | this is
-        taking | too long | too much time | waste of time
-    """),
-    "info_blocker": _phrases("""
-        call back | check my | come back | come back later | find my | get back to you | locate my | once i have | try
-        again later | when i find | when i get | when i have
-    """),
-    "loop_exit": _phrases("""
-        already answered | already gave you | already said | already told you | asking again | going in circles | keep
-        asking | over and over | round in circles | same question
-    """),
-    "scope_limit": _phrases("""
-        can't do anything | can't help | forget it | i'll try elsewhere | never mind then | nothing to be done |
-        nothing you can do | ok then | thanks anyway | your hands are tied
-    """),
-    "trust_breakdown": _phrases("""
-        doesn't help | don't trust | getting nowhere | no point | not confident | not helpful | pointless | speak to
-        someone else | this isn't working | unhelpful | useless | waste
-    """),
-    "wrong_channel": _phrases("""
-        another way | branch | call the number | call you | come in | different channel | in branch | in person | phone
-        | visit
-    """),
+    "impatience": (
+        "forget it", "never mind", "this is taking", "too long", "too much time", "give up", "done with this", "can't do this", "bye", "goodbye", "later",
+        "not worth", "waste of time",
+    ),
+    "info_blocker": (
+        "come back", "come back later", "when i find", "when i have", "when i get", "get back to you", "try again later", "call back", "once i have",
+        "find my", "locate my", "check my",
+    ),
+    "loop_exit": (
+        "same question", "keep asking", "already told you", "already said", "asking again", "going in circles", "round in circles", "over and over",
+        "already answered", "already gave you",
+    ),
+    "trust_breakdown": (
+        "don't trust", "not confident", "speak to someone else", "this isn't working", "unhelpful", "useless", "not helpful", "doesn't help", "waste", "no point",
+        "pointless", "getting nowhere",
+    ),
+    "escalation_exit": (
+        "supervisor", "manager", "speak to someone", "real person", "human", "escalate", "done here", "going elsewhere", "going to call",
+        "speaking to someone else", "not dealing with this",
+    ),
+    "wrong_channel": ("phone", "branch", "in person", "call you", "come in", "in branch", "different channel", "another way", "call the number", "visit"),
+    "scope_limit": (
+        "can't help", "can't do anything", "thanks anyway", "never mind then", "forget it", "i'll try elsewhere", "ok then", "nothing you can do",
+        "your hands are tied", "nothing to be done",
+    ),
+    "distraction": (
+        "gotta go", "got to go", "have to go", "brb", "talk later", "something came up", "busy", "back later", "catch you later",
+        "deal with this later", "have to run",
+    ),
 }
 BELIEF_KEYWORDS = {
-    0: _phrases("""
-        120 days | 120-day | four months
-    """),
-    1: _phrases("""
-        approximate | description | don't have the exact | rough
-    """),
-    2: _phrases("""
-        have to refund | legally required | mandatory refund | must refund | required by law
-    """),
-    3: _phrases("""
-        100 percent | 100% | certain before | positive before | sure before | totally sure
-    """),
-    4: _phrases("""
-        automatically blocks | blocks all pending | immediately blocks | instantly
-    """),
-    5: _phrases("""
-        entitled | manager | open case | returning caller | supervisor
-    """),
-    6: _phrases("""
-        24 hours | 24-hour | 500 | federal law | provisional within 24
-    """),
-    7: _phrases("""
-        file a report | file report | police | police report | report first
-    """),
+    0: ("120 days", "120-day", "four months"),
+    1: ("description", "rough", "approximate", "don't have the exact"),
+    2: ("legally required", "required by law", "mandatory refund", "must refund", "have to refund"),
+    3: ("100%", "100 percent", "totally sure", "certain before", "sure before", "positive before"),
+    4: ("instantly", "automatically blocks", "immediately blocks", "blocks all pending"),
+    5: ("supervisor", "manager", "entitled", "returning caller", "open case"),
+    6: ("500", "federal law", "24 hours", "24-hour", "provisional within 24"),
+    7: ("police report", "police", "report first", "file a report", "file report"),
 }

@@ -92,7 +92,8 @@ def first_month_day(lc: Column) -> Column:
     return F.concat(*[F.regexp_extract(lc, pattern, g) for g in (1, 2, 3, 4)])
 
 
-STOPWORDS = tuple("all and any are can for from have just not only that the their they this what when will with you your".split())
+# Fixed values.
+STOPWORDS = ("you", "your", "that", "this", "the", "and", "are", "for", "from", "with", "have", "will", "can", "not", "any", "all", "they", "their", "when", "what", "just", "only")
 
 
 def keywords(text: Column, stop: Sequence[str] = STOPWORDS) -> Column:
