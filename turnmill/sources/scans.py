@@ -17,11 +17,15 @@ ROW = f"struct<input:string,output:string,_meta:{META}>"
 PREDICTION = f"array<struct<expected_output:string,_meta:{META},base_model:struct<predicted_output:string>,lora_model:struct<predicted_output:string>>>"
 
 
+def mended_json(text: Column) -> Column:
+    """Stray backslashes doubled."""
+    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
+
+
 def tolerant_json(text: Column, schema: str) -> Column:
     """Parsed, else parsed with stray backslashes doubled, else null."""
-    mended = F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
     ok = lambda t: F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema))
-    return F.coalesce(ok(text), ok(mended))
+    return F.coalesce(ok(text), ok(mended_json(text)))
 
 
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -32,7 +36,7 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
 def training_jsonl(spark: SparkSession, *paths: str, keep_raw: bool = False) -> DataFrame:
     """(file, line_no, input, output, _meta, has_meta, has_probing_type, generation_idx); blank and unreadable lines are left out, bad ones told by `rejected`."""
     rows = lines(spark, *paths).where(F.trim("line") != "").withColumn("r", tolerant_json(F.col("line"), ROW)).where(F.col("r").isNotNull())
-    meta = F.get_json_object("line", "$._meta")
+    meta = F.coalesce(F.get_json_object("line", "$._meta"), F.get_json_object(mended_json(F.col("line")), "$._meta"))
     out = rows.select("file", "line_no", "r.input", "r.output", "r._meta", meta.isNotNull().alias("has_meta"), F.coalesce(F.array_contains(F.json_object_keys(meta), "probing_type"), F.lit(False)).alias("has_probing_type"), F.col("r._meta.generation_idx").alias("generation_idx"), *(["line"] if keep_raw else []))
     return out
 
