@@ -10,7 +10,7 @@ from turnmill.functions import lexicons as L
 from turnmill.functions import stats
 from turnmill.functions import text as T
 from turnmill.operators import gate, judge, metrics, rules, split, training
-from turnmill.plans import registry
+from turnmill.plans import base, registry
 from turnmill.sources import parse, scans, sinks
 
 
@@ -137,3 +137,21 @@ def test_bleu_and_reward(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(metrics.bleu(F.lit("a b c"), F.lit("a b c"))) == pytest.approx(1.0) and one(metrics.bleu(F.lit("x"), F.lit("a b"))) == 0.0
     assert one(metrics.rule_reward(F.lit("a b <eos>"), F.lit(3))) == pytest.approx(0.7)
+
+
+#: Queries over pairs(). Their SQL still cuts each reply to 24 words; here it runs with the reply whole.
+_CUT = r"array_to_string((list_filter(string_split_regex(a.text, '\s+'), lambda w: w <> ''))[1:24], ' ')"
+PAIR_QUERIES = sorted(n for n, sql in registry.SQL.items() if _CUT in sql)
+
+
+@pytest.mark.parametrize("name", PAIR_QUERIES)
+def test_pairs_take_whole_replies(spark, name):
+    against_sql(spark, registry.QUERIES[name], registry.SQL[name].replace(_CUT, "a.text"), TINY)
+
+
+def test_predicted_output_is_the_reply(spark):
+    rows = spark.read.parquet(f"{TINY}/conversations.parquet").collect()
+    replies = {(r.conv_id, r.turn - 1): r.text for r in rows if r.role == "assistant"}
+    found = base.pairs(spark, TINY).collect()
+    assert any(len(r.predicted_output.split()) > 24 for r in found)
+    assert all(r.predicted_output == (replies.get((r.generation_idx, r.example_idx)) or "") for r in found)

@@ -61,10 +61,10 @@ def evaluated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Prediction rows: the reference is a user turn, the prediction the first words of the assistant turn after it."""
+    """Prediction rows: the reference is a user turn, the prediction the whole assistant turn after it."""
     rows = parquet(spark, sf, "conversations")
     user = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("expected_output"))
-    reply = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.array_join(F.slice(T.words(F.col("text")), 1, 24), " ").alias("predicted_output"))
+    reply = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("predicted_output"))
     both = user.join(reply, ["conv_id", "turn"], "left").withColumn("predicted_output", F.coalesce("predicted_output", F.lit("")))
     variant = F.get(F.array(*[F.lit(f"{k}_{s}") for s in ("4b", "12b", "27b") for k in ("base", "lora")]), F.pmod("conv_id", F.lit(6)).cast("int"))
     named = both.withColumns({c: _cycle(c) for c in ("dataset_type", "failure_mode", "knowledge_level", "emotional_state", "communication_style", "goal_clarity", "merchant", "amount", "transaction_date")})
