@@ -244,6 +244,33 @@ def test_links_keep_every_component(spark, hot, monkeypatch):
     assert len(set(root.values())) == len(set(classes(prints).values()))
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(lower(a)), words(lower(b))))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_stage_removes_near_copies_of_similarity_0_8(spark, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng, rows = random.Random(5), []
+    for g in range(30):  # a text and copies with words replaced: similar, chained or below 0.8
+        base = [f"w{rng.randrange(4000)}" for _ in range(100 + g)]
+        for edits in (0, 1, 1, 2, 2, 3, 6):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = f"x{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(copy)))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    found = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), TINY).collect()}
+    assert found == set(root)
+    assert 30 < len(found) < len(rows) / 2
+
+
 # 5
 
 

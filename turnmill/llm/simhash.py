@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 from turnmill.llm.common import broadcast_if, discard, materialize, table
 
 SHINGLE, RADIUS, SEED, HOT = 3, 3, 42, 2048
+#: The pipeline stage: words of a shingle, least similarity, MinHash keys and minima of each, sets of a key that are all compared.
+NEAR_SHINGLE, SIMILARITY, BANDS, ROWS, CROWD = 5, 0.8, 24, 5, 2
 _STEP = 1 << 16
+_ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, 2 * BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -155,10 +158,89 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted hashes of a text's runs of NEAR_SHINGLE words; of fewer words the whole sequence is one run."""
+    words = text.lower().split()
+    width = min(NEAR_SHINGLE, len(words))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(len(words) - width + 1 if words else 0)], np.uint64))
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of the shingle sets; 1 if both are empty."""
+    x, y = shingle_set(a), shingle_set(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """BANDS keys of ROWS minima each."""
+    if not len(shingles):
+        return []
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), _STEP):
+        part = shingles[i : i + _STEP]
+        for k in range(BANDS * ROWS):
+            z = part * _ODD[k]
+            low[k] = min(low[k], ((z ^ (z >> np.uint64(29))) * _ODD[-1 - k]).min())
+    return [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def _sketch(text: pa.Array) -> pa.Array:
+    out = []
+    for x in text.cast(pa.binary()).to_pylist():
+        s = shingle_set(x or b"")
+        out.append({"set": xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), "bands": bands(s)})
+    return pa.array(out, pa.struct([("set", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+
+
+def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    both = zip(a.cast(pa.binary()).to_pylist(), b.cast(pa.binary()).to_pylist())
+    return pa.array([similarity(x or b"", y or b"") >= SIMILARITY for x, y in both], pa.bool_())
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose texts are similar; a set (set, id, th) has the text of the row with that id and text hash. Only texts in pairs are shuffled twice."""
+    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    asked = materialize(sets.select("set", "id", "th").join(asked, "set", "left_semi"), "candidate-sets")
+    from_ = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    texts = asked.join(from_, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash"))).select("set", "text").dropDuplicates(["set"])
+    texts = materialize(texts, "candidate-texts")
+    a, b = texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), texts.select(F.col("set").alias("b"), F.col("text").alias("tb"))
+    return materialize(pairs.join(a, "a").join(b, "b").where(F.arrow_udf(_similar, "boolean")("ta", "tb")).select("a", "b"), "similar")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, set, component) for every row of docs (doc_id, text): texts of similarity SIMILARITY or more are linked.
+
+    Rows of one shingle set meet first. Two sets of similarity 0.8 share one of the BANDS keys with probability 0.9999, more
+    above. A key of up to CROWD sets gives all its pairs. The sets of a larger key are first compared with its smallest set
+    only; then those outside its largest component with all sets in other components, so no pair that could join two
+    components goes untested. Every link is verified on the whole texts.
+    """
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.arrow_udf(_sketch, "struct<set:bigint,bands:array<bigint>>")(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.set", "s.bands"), "sketches")
+    sets = rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("bands").alias("bands"))
+    sets = materialize(sets.select("set", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("th"), "bands"), "sets")
+    keyed = sets.select("set", F.explode("bands").alias("key"))
+    met = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("least")).where("n > 1"), "band-keys")
+    few = keyed.join(met.where(F.col("n") <= CROWD).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("set")).alias("m"))
+    few = few.select("m").distinct().select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
+    crowd = materialize(keyed.join(met.where(F.col("n") > CROWD).select("key", "least"), "key"), "crowded")
+    found = _verified(few.union(crowd.select(F.col("least").alias("a"), F.col("set").alias("b"))), sets, docs)
+    roots = components(found)
+    if crowd.limit(1).count():
+        named = materialize(crowd.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root")), "crowd-roots")
+        most = named.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.root").alias("main"))
+        apart = named.join(most, "key").where("root <> main").select("key", F.col("set").alias("a"), F.col("root").alias("ra"))
+        found = found.union(_verified(apart.join(named, "key").where("root <> ra").select("a", F.col("set").alias("b")), sets, docs))
+        roots = components(found)
+    return rows.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "text_hash", "set", F.coalesce("root", "set").alias("component"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows that repeat its id, the first by text."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    keep = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
+    """The document with the smallest doc_id of each group of near-duplicates: five words, similarity 0.8 or more, unlike op4; of rows that repeat its id, the first by text."""
+    found = similar_groups(docs.select("doc_id", "text"))
+    keep = materialize(found.groupBy("component").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct(), "kept")
     order = Window.partitionBy("doc_id").orderBy("text")
     left = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
     return left.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
