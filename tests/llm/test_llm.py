@@ -271,6 +271,24 @@ def test_stage_removes_near_copies_of_similarity_0_8(spark, crowd, monkeypatch):
     assert 30 < len(found) < len(rows) / 2
 
 
+def test_stage_keeps_one_row_of_each_group(spark, nasty):
+    rows = spark.read.parquet(f"{nasty}/documents.parquet").collect()
+    more = [(None, "lost id " * 10), (None, "another text without an id"), (3, "the same id but another text"), (90, "another text without an id")]
+    pairs = [(r.doc_id, r.text) for r in rows] + more
+    root = list(range(len(pairs)))
+    for i in range(len(pairs)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(pairs[i][1], pairs[j][1]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    groups = defaultdict(list)
+    for r, (d, _) in zip(root, pairs):
+        groups[r].append((d is None, d or 0))
+    found = [(r.doc_id is None, r.doc_id or 0) for r in simhash.stage(spark, spark.createDataFrame(pairs, "doc_id bigint, text string"), nasty).collect()]
+    assert sorted(found) == sorted(min(g) for g in groups.values())
+    assert (True, 0) in found and found.count((False, 3)) == 2
+
+
 # 5
 
 

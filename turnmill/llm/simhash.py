@@ -238,12 +238,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: five words, similarity 0.8 or more, unlike op4; of rows that repeat its id, the first by text."""
+    """One row of each group of near-duplicates: five words, similarity 0.8 or more, unlike op4.
+
+    The row with the smallest doc_id stays, a null doc_id only where the group has no other; of rows that share it, the one with
+    the smallest hash of its text. Rows that share a doc_id but are not similar are groups of their own.
+    """
     found = similar_groups(docs.select("doc_id", "text"))
-    keep = materialize(found.groupBy("component").agg(F.min("doc_id").alias("__keep")).select("__keep").distinct(), "kept")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    left = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
-    return left.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")).alias("r"))
+    keep = materialize(first.select(F.col("r.doc_id").alias("__keep"), F.col("r.text_hash").alias("__kept_hash")), "kept")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    left = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["__keep"]) & (hashed["__hash"] == keep["__kept_hash"]), "left_semi")
+    order = Window.partitionBy("doc_id", "__hash").orderBy("text")
+    return left.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__hash")
 
 
 QUERIES = {"op4_simhash_near_dedup": op4_simhash_near_dedup}
