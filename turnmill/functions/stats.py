@@ -25,9 +25,13 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFra
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """(by..., rho): null under `least` rows or for a constant side."""
     ranked = average_rank(average_rank(df, by, x, "__rx"), by, y, "__ry")
-    spread = F.stddev_pop("__rx") * F.stddev_pop("__ry")
-    rho = F.when(F.count("*") >= least, F.try_divide(F.covar_pop("__rx", "__ry"), F.when(spread > 0, spread)))
-    return ranked.groupBy(*by).agg(rho.alias("rho"))
+    return ranked.groupBy(*by).agg(rank_correlation("__rx", "__ry", least).alias("rho"))
+
+
+def rank_correlation(rx: str, ry: str, least: int = 3) -> Column:
+    """Spearman's rho over columns of ranks, an aggregate."""
+    spread = F.stddev_pop(rx) * F.stddev_pop(ry)
+    return F.when(F.count("*") >= least, F.try_divide(F.covar_pop(rx, ry), F.when(spread > 0, spread)))
 
 
 def slope_intercept(x: Column, y: Column) -> tuple[Column, Column]:
@@ -43,12 +47,27 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-u * u))
 
 
-def wilcoxon(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """(by..., n_used, wilcoxon_stat, p_value): zero differences dropped, normal approximation with tie correction."""
-    diff = pairs.withColumn("__d", F.col(a) - F.col(b)).where("__d <> 0").withColumn("__abs", F.abs("__d"))
-    tied = Window.partitionBy(*by, "__abs")
-    ranked = average_rank(diff, by, "__abs", "__r").withColumn("__t", F.count("*").over(tied))
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n_used"), F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("__up"), F.sum(F.when(F.col("__d") < 0, F.col("__r")).otherwise(0.0)).alias("__down"), F.sum(F.col("__t") * F.col("__t") - 1).cast("double").alias("__ties"))
+def wilcoxon(pairs: DataFrame, by: list[str], a: str, b: str, parts: int = 256) -> DataFrame:
+    """(by..., n_used, wilcoxon_stat, p_value): zero differences dropped, normal approximation with tie correction.
+
+    Differences are counted by size first, so ranks are taken over distinct sizes, not rows. These are laid out in sorted ranges;
+    a range's first rank follows from the counts of the ranges before it, of which there are at most `parts`. No task orders a whole group.
+    """
+    diff = F.col(a) - F.col(b)
+    tied = pairs.select(*by, diff.alias("__d")).where("__d <> 0").groupBy(*by, F.abs("__d").alias("__abs")).agg(F.count("*").alias("__t"), F.count_if(F.col("__d") > 0).alias("__up"))
+    ranged = tied.repartitionByRange(parts, *by, "__abs").withColumn("__part", F.spark_partition_id())
+    return _ranked_sums(ranged, by)
+
+
+def _ranked_sums(ranged: DataFrame, by: list[str]) -> DataFrame:
+    inside = Window.partitionBy("__part", *by).orderBy("__abs").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # sums within a range, as if its first rank were 1, and what the ranges before it add to every rank
+    t = F.col("__t").cast("double")
+    local = ranged.withColumn("__r", F.coalesce(F.sum("__t").over(inside), F.lit(0)) + (t + 1) / 2)
+    per = local.groupBy(*by, "__part").agg(F.sum("__t").alias("__n"), F.sum("__up").alias("__n_up"), F.sum(F.col("__r") * F.col("__up")).alias("__w_up"), F.sum(F.col("__r") * (F.col("__t") - F.col("__up"))).alias("__w_down"), F.sum(t * (t * t - 1)).alias("__ties"))
+    placed = per.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    sums = placed.groupBy(*by).agg(F.sum("__n").alias("n_used"), F.sum(F.col("__w_up") + F.col("__before") * F.col("__n_up")).alias("__up"), F.sum(F.col("__w_down") + F.col("__before") * (F.col("__n") - F.col("__n_up"))).alias("__down"), F.sum("__ties").alias("__ties"))
     n = F.col("n_used").cast("double")
     w, mean = F.least("__up", "__down"), n * (n + 1) / 4
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48)

@@ -17,6 +17,11 @@ def rounded(x: Column, k: int) -> Column:
     return F.when(x >= 0, F.floor(x * p + 0.5) / p).otherwise(-F.floor(-x * p + 0.5) / p)
 
 
+def mean_of(x: Column, k: int) -> Column:
+    """Mean of values that have k decimals, rounded to k. They are summed as whole units, so no order of rows moves a tie."""
+    return rounded(F.sum(F.round(x * float(10**k)).cast("bigint")).cast("double") / F.count(x), 0) / float(10**k)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
@@ -82,6 +87,7 @@ def day_of_year(date: Column) -> Column:
     return F.when(ok, F.dayofyear(F.make_date(F.lit(2024), month, F.least(day, F.lit(28))))).otherwise(0)
 
 
+# The patterns of amounts and of month and day.
 def first_amount(text: Column) -> Column:
     return F.regexp_extract(text, r"\$[\d,]+(?:\.\d{1,2})?", 0)
 
@@ -132,7 +138,8 @@ def ngrams(w: Column, n: int) -> Column:
 
 def trigram_ratio(text: Column) -> Column:
     """Distinct share of word trigrams; 1 for texts of under three words."""
-    grams = let(words(F.lower(text)), lambda w: ngrams(w, 3))
+    after = lambda w, i: F.slice(w, i + 1, F.greatest(F.size(w) - 2, F.lit(0)))
+    grams = let(words(F.lower(text)), lambda w: F.transform(F.arrays_zip(after(w, 0), after(w, 1), after(w, 2)), lambda x: F.concat_ws(" ", x["0"], x["1"], x["2"])))
     return F.coalesce(let(grams, lambda g: F.try_divide(F.size(F.array_distinct(g)).cast("double"), F.size(g))), F.lit(1.0))
 
 

@@ -75,15 +75,25 @@ def reconstruct(rows: DataFrame) -> DataFrame:
 
 def contradiction(turns: DataFrame, keys: list[str], merchants: tuple[str, ...] = MERCHANTS) -> DataFrame:
     """(keys, self_contradiction): over turns, at least two different first amounts, dates or merchants. A turn naming several merchants counts the first by name."""
+    found = turns.select(*keys, *[c.alias(n) for n, c in _claims(merchants).items()])
+    return found.groupBy(*keys).agg(_clash().alias("self_contradiction"))
+
+
+def _claims(merchants: tuple[str, ...]) -> dict[str, Column]:
+    """A turn's first amount, date and merchant, null where it names none."""
     lc = F.lower("text")
-    found = turns.select(*keys, F.nullif(T.amount_digits(T.first_amount(F.col("text"))), F.lit("")).alias("a"), F.nullif(T.first_month_day(lc), F.lit("")).alias("d"), F.get(T.matched(lc, sorted(merchants)), F.lit(0)).alias("m"))
-    return found.groupBy(*keys).agg(((F.count("*") >= 2) & ((F.count_distinct("a") > 1) | (F.count_distinct("d") > 1) | (F.count_distinct("m") > 1))).alias("self_contradiction"))
+    return {"__amount": F.nullif(T.amount_digits(T.first_amount(F.col("text"))), F.lit("")), "__date": F.nullif(T.first_month_day(lc), F.lit("")), "__merchant": F.get(T.matched(lc, sorted(merchants)), F.lit(0))}
+
 
+def _clash() -> Column:
+    several = lambda c: F.min(c) < F.max(c)
+    return (F.count("*") >= 2) & (F.coalesce(several("__amount"), F.lit(False)) | F.coalesce(several("__date"), F.lit(False)) | F.coalesce(several("__merchant"), F.lit(False)))
 
-def turn_stats(turns: DataFrame, keys: list[str], lex: Lexicons = Lexicons()) -> DataFrame:
-    """Statistics of each sequence of turns (keys..., example_idx, text and, if there, the META columns)."""
+
+def turn_stats(turns: DataFrame, keys: list[str], lex: Lexicons = Lexicons(), more: dict[str, Column] | None = None) -> DataFrame:
+    """Statistics of each sequence of turns (keys..., example_idx, text and, if there, the META columns). `more` adds aggregates of the turns' columns."""
     meta = [c for c in META if c in turns.columns]
-    lc = turns.select(*keys, "example_idx", "text", *meta, F.lower("text").alias("lc"), T.word_count(F.col("text")).alias("w"))
+    lc = turns.select("*", F.lower("text").alias("lc"), T.word_count(F.col("text")).alias("w"))
     has = lambda c: F.col(c) if c in meta else F.lit(None).cast("string")
     idx = F.pmod(F.coalesce(F.col("generation_idx").try_cast("bigint"), F.lit(0)), F.lit(8)) if "generation_idx" in keys else F.lit(0)
     belief = F.coalesce(*[F.when(idx == i, T.has_any(F.col("lc"), ps)) for i, ps in lex.belief.items()], F.lit(False))
@@ -100,7 +110,7 @@ def turn_stats(turns: DataFrame, keys: list[str], lex: Lexicons = Lexicons()) ->
         n.cast("int").alias("n_turns"), r2(F.avg("w")).alias("words_mean"), r2(F.stddev_pop("w")).alias("words_std"), r2(F.get(p, F.lit(0))).alias("words_p10"), r2(F.get(p, F.lit(1))).alias("words_p90"),
         rate("hedge").alias("hedge_rate"), rate("sure").alias("certainty_rate"), rate("promise").alias("promise_rate"), T.rounded(F.min_by("facts", "example_idx") / 3, 3).alias("info_density"),
         F.max("cats").alias("max_categories"), F.count_if(F.col("cats") >= 2).cast("int").alias("multi_category_turns"), F.count_if("role").cast("int").alias("role_confused_turns"), F.count_if("push").cast("int").alias("pushback_turns"),
-        T.rounded(F.count_if("belief").cast("double") / n, 3).alias("prior_belief_rate"), said.alias("said"),
+        T.rounded(F.count_if("belief").cast("double") / n, 3).alias("prior_belief_rate"), said.alias("said"), *[c.alias(k) for k, c in (more or {}).items()],
     )
     joined = F.array_join(F.transform("said", lambda x: x["lc"]), " ")
     return out.withColumns({
@@ -124,16 +134,20 @@ FLAGS = (
 
 
 def compare(rows: DataFrame, lex: Lexicons = Lexicons()) -> DataFrame:
-    """One row per (variant, conversation): pred_* and ref_* statistics, deltas, the 14 flags and their count."""
-    turns = sides(rows)
-    meta = turns.groupBy(*KEY).agg(*[F.min_by(c, "example_idx").alias(c) for c in META if c in turns.columns])
-    st = turn_stats(turns, [*KEY, "side"], lex)
-    measures = [c for c in st.columns if c not in (*KEY, "side")]
+    """One row per (variant, conversation): pred_* and ref_* statistics, deltas, the 14 flags and their count.
+
+    Turns are dealt by conversation once; ranks, statistics of each side and the row of both sides follow from that one shuffle.
+    """
+    by = [*KEY, "side"]
+    turns = sides(rows).repartition(*KEY).withColumns({"__marks": T.hits(F.lower("text"), lex.frustration), **_claims(lex.merchants)})
+    turns = stats.average_rank(stats.average_rank(turns, by, "example_idx", "__rx"), by, "__marks", "__ry")
+    known = [c for c in META if c in turns.columns]
+    first = F.min_by(F.struct(*known), "example_idx") if known else F.lit(None)
+    st = turn_stats(turns, by, lex, {"rho": T.rounded(stats.rank_correlation("__rx", "__ry"), 4), "contradiction": _clash(), "__first": F.min("example_idx"), "__meta": first})
+    measures = [c for c in st.columns if c not in by and not c.startswith("__")]
     pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}")
-    wide = st.groupBy(*KEY).agg(*[pick(s, c) for s in ("pred", "ref") for c in measures])
-    rho = escalation(turns, [*KEY, "side"], lex.frustration).groupBy(*KEY).agg(pick("pred", "rho"), pick("ref", "rho"))
-    clash = contradiction(turns.where("side = 'pred'"), KEY, lex.merchants).withColumnRenamed("self_contradiction", "pred_contradiction")
-    wide = wide.join(meta, KEY).join(rho, KEY, "left").join(clash, KEY, "left")
+    wide = st.groupBy(*KEY).agg(*[pick(s, c) for s in ("pred", "ref") for c in measures], F.min_by("__meta", "__first").alias("__meta"))
+    wide = wide.withColumns({c: F.col("__meta")[c] for c in known}).drop("__meta")
     kinds = dict(wide.dtypes)
     zero = {c: (F.coalesce(c, F.lit(False)) if kinds[c] == "boolean" else F.coalesce(c, F.lit(0).cast(kinds[c]))) for c in wide.columns if c.startswith(("pred_", "ref_")) and kinds[c] in ("boolean", "int", "double", "bigint") and not c.endswith(("rho", "first_pushback"))}
     wide = wide.withColumns(zero)
@@ -154,4 +168,4 @@ def rates(compared: DataFrame, *by: str) -> DataFrame:
     """Per group: conversations, mean deltas and flag percentages; a flag of one type counts over that type only (null without any)."""
     own = {"missed_pushback": "type_b", "wrong_belief_missing": "type_a", "dropout_implausible": "failure"}
     share = lambda f: F.avg(F.when(F.col("conversation_type") == own[f], F.col(f"flag_{f}").cast("double")) if f in own else F.col(f"flag_{f}").cast("double"))
-    return compared.groupBy(*by).agg(F.count("*").alias("n"), *[T.rounded(F.avg(f"delta_{d}"), 3).alias(f"delta_{d}") for d in DELTAS], *[T.rounded(100 * share(f), 1).alias(f"pct_{f}") for f in FLAGS], T.rounded(F.avg("fidelity_flag_count"), 3).alias("mean_flags"))
+    return compared.groupBy(*by).agg(F.count("*").alias("n"), *[T.mean_of(F.col(f"delta_{d}"), 3).alias(f"delta_{d}") for d in DELTAS], *[T.rounded(100 * share(f), 1).alias(f"pct_{f}") for f in FLAGS], T.rounded(F.avg("fidelity_flag_count"), 3).alias("mean_flags"))

@@ -85,7 +85,12 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 
 def r(x: str, k: int) -> str:
     p = f"1e{k}"
-    return f"(CASE WHEN ({x}) >= 0 THEN floor(({x}) * {p} + 0.5) / {p} ELSE -floor(-({x}) * {p} + 0.5) / {p} END)"
+    return f"(CASE WHEN ({x}) >= 0 THEN floor(({x}) * {p} + 0.5)::BIGINT / {p} ELSE -(floor(-({x}) * {p} + 0.5)::BIGINT) / {p} END)"
+
+
+def mean_r(x: str, k: int) -> str:
+    """Mean of values that have k decimals, rounded to k: summed as whole units, so no order of rows moves a tie."""
+    return "(" + r(f"sum(round(({x}) * 1e{k})::BIGINT)::DOUBLE / count({x})", 0) + f" / 1e{k})"
 
 
 def q(text: str) -> str:

@@ -8,7 +8,7 @@ from turnmill.functions import stats
 from turnmill.functions import text as T
 from turnmill.operators import fidelity, judge, metrics, split
 from turnmill.plans import base as B
-from turnmill.plans.base import r
+from turnmill.plans.base import mean_r, r
 from turnmill.sources.scans import parquet
 
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ _VARIANT = "CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN '{k}_{s}'" for i, (s,
 #: rows: prediction pairs; s: one row per variant, conversation and side; w: both sides on one row with deltas and flags.
 _ROWS = rf"""
 h AS ({B.HEADER_SQL}), rows AS (
-  SELECT {_VARIANT.replace('conv_id', 'u.conv_id')} AS model_variant, u.conv_id AS generation_idx, u.turn AS example_idx, trim(u.text) AS ref, coalesce(array_to_string((list_filter(string_split_regex(a.text, '\s+'), lambda w: w <> ''))[1:24], ' '), '') AS pred
+  SELECT {_VARIANT.replace('conv_id', 'u.conv_id')} AS model_variant, u.conv_id AS generation_idx, u.turn AS example_idx, trim(u.text) AS ref, coalesce(a.text, '') AS pred
   FROM conversations u LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user'
 ), turns AS (SELECT model_variant, generation_idx, example_idx, side, text, lower(text) AS lc, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w
   FROM (SELECT model_variant, generation_idx, example_idx, 'pred' AS side, trim(pred) AS text FROM rows UNION ALL SELECT model_variant, generation_idx, example_idx, 'ref', ref FROM rows) WHERE text <> '')
@@ -111,7 +111,7 @@ def fidelity_flags(spark, sf):
 def _rates(by: str) -> str:
     own = {"missed_pushback": "type_b", "wrong_belief_missing": "type_a", "dropout_implausible": "failure"}
     pct = lambda f: r(f"100 * avg(flag_{f}::INT)" + (f" FILTER (kind = '{own[f]}')" if f in own else ""), 1)
-    return f"{_W} SELECT {by}, count(*) AS n, {', '.join(f'{r(f'avg(delta_{d})', 3)} AS delta_{d}' for d in fidelity.DELTAS)}, {', '.join(f'{pct(f)} AS pct_{f}' for f in fidelity.FLAGS)}, {r('avg(fidelity_flag_count)', 3)} AS mean_flags FROM w GROUP BY ALL"
+    return f"{_W} SELECT {by}, count(*) AS n, {', '.join(f'{mean_r(f'delta_{d}', 3)} AS delta_{d}' for d in fidelity.DELTAS)}, {', '.join(f'{pct(f)} AS pct_{f}' for f in fidelity.FLAGS)}, {r('avg(fidelity_flag_count)', 3)} AS mean_flags FROM w GROUP BY ALL"
 
 
 @query(_rates("model_variant"))
@@ -190,9 +190,9 @@ def judge_cache_join(spark, sf):
     return rows.select("conv_id", "cached", judge.cache_key(F.col("dataset_type"), F.col("conv_id")).alias("cache_key"))
 
 
-@query(f"WITH {_J} SELECT dataset_type, count(*) AS n, {r('avg(overall_score)', 3)} AS mean, min(overall_score) AS min, max(overall_score) AS max, {r('stddev_pop(overall_score)', 3)} AS std, CASE WHEN {r('avg(overall_score)', 3)} >= 3.5 THEN 'Good' WHEN {r('avg(overall_score)', 3)} >= 2.5 THEN 'Moderate' ELSE 'Needs work' END AS label FROM js WHERE NOT parse_error GROUP BY dataset_type")
+@query(f"WITH {_J} SELECT dataset_type, count(*) AS n, {mean_r('overall_score', 3)} AS mean, min(overall_score) AS min, max(overall_score) AS max, {r('stddev_pop(overall_score)', 3)} AS std, CASE WHEN {mean_r('overall_score', 3)} >= 3.5 THEN 'Good' WHEN {mean_r('overall_score', 3)} >= 2.5 THEN 'Moderate' ELSE 'Needs work' END AS label FROM js WHERE NOT parse_error GROUP BY dataset_type")
 def judge_overall_by_type(spark, sf):
-    s = _scored(spark, sf).where("NOT parse_error").groupBy("dataset_type").agg(F.count("*").alias("n"), T.rounded(F.avg("overall_score"), 3).alias("mean"), F.min("overall_score").alias("min"), F.max("overall_score").alias("max"), T.rounded(F.stddev_pop("overall_score"), 3).alias("std"))
+    s = _scored(spark, sf).where("NOT parse_error").groupBy("dataset_type").agg(F.count("*").alias("n"), T.mean_of(F.col("overall_score"), 3).alias("mean"), F.min("overall_score").alias("min"), F.max("overall_score").alias("max"), T.rounded(F.stddev_pop("overall_score"), 3).alias("std"))
     return s.withColumn("label", judge.quality_label(F.col("mean")))
 
 
@@ -260,11 +260,11 @@ def trigram_reward(spark, sf):
 
 
 @query(f"""WITH {_W} SELECT model_variant, CASE WHEN grouping(knowledge_level) = 0 THEN 'knowledge_level' WHEN grouping(kind) = 0 THEN 'conversation_type' ELSE 'overall' END AS slice_dim,
-CASE WHEN grouping(knowledge_level) = 0 THEN knowledge_level WHEN grouping(kind) = 0 THEN kind ELSE 'all' END AS slice_val, count(*) AS n, {r('avg(delta_words)', 3)} AS delta_words FROM w GROUP BY GROUPING SETS ((model_variant, knowledge_level), (model_variant, kind), (model_variant))""".replace("WITH WITH", "WITH"))
+CASE WHEN grouping(knowledge_level) = 0 THEN knowledge_level WHEN grouping(kind) = 0 THEN kind ELSE 'all' END AS slice_val, count(*) AS n, {mean_r('delta_words', 3)} AS delta_words FROM w GROUP BY GROUPING SETS ((model_variant, knowledge_level), (model_variant, kind), (model_variant))""".replace("WITH WITH", "WITH"))
 def slice_grouping_sets(spark, sf):
-    return split.slices(_compared(spark, sf), ["knowledge_level", "conversation_type"], {"n": F.count("*"), "delta_words": T.rounded(F.avg("delta_words"), 3)}, by=["model_variant"])
+    return split.slices(_compared(spark, sf), ["knowledge_level", "conversation_type"], {"n": F.count("*"), "delta_words": T.mean_of(F.col("delta_words"), 3)}, by=["model_variant"])
 
 
-@query(f"""WITH {_W}, v AS (SELECT model_variant, {r('avg(delta_words)', 3)} AS m FROM w GROUP BY 1) SELECT split_part(a.model_variant, '_', 2) AS model_size, a.m AS base, b.m AS lora, {r('b.m - a.m', 3)} AS delta FROM v a JOIN v b ON a.model_variant LIKE 'base%' AND b.model_variant LIKE 'lora%' AND split_part(a.model_variant, '_', 2) = split_part(b.model_variant, '_', 2)""".replace("WITH WITH", "WITH"))
+@query(f"""WITH {_W}, v AS (SELECT model_variant, {mean_r('delta_words', 3)} AS m FROM w GROUP BY 1) SELECT split_part(a.model_variant, '_', 2) AS model_size, a.m AS base, b.m AS lora, {r('b.m - a.m', 3)} AS delta FROM v a JOIN v b ON a.model_variant LIKE 'base%' AND b.model_variant LIKE 'lora%' AND split_part(a.model_variant, '_', 2) = split_part(b.model_variant, '_', 2)""".replace("WITH WITH", "WITH"))
 def size_deltas(spark, sf):
-    return metrics.size_delta(_compared(spark, sf).groupBy("model_variant").agg(T.rounded(F.avg("delta_words"), 3).alias("m")), "m")
+    return metrics.size_delta(_compared(spark, sf).groupBy("model_variant").agg(T.mean_of(F.col("delta_words"), 3).alias("m")), "m")
