@@ -134,6 +134,22 @@ def test_token_counts_equal_the_library(spark, file):
     assert counter.count([(t or "").encode() for t in texts]) == want
 
 
+def test_token_counts_of_random_strings():
+    """Special strings in any case and cut, contractions, marks, composed and compatibility letters, odd spaces."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    parts = [
+        "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|", "|>", "<", "|", "endoftext", "a", "B", "word", "Word", "'s", "'LL", "'", "!", "?!", "_", "[", "$", ".", "-", "1", "23",
+        "\u00e9", "e\u0301", "\u0301", "\u212a", "\u212b", "\u1e9e", "\u0130", "\u01c5", "\u03a3", "\u00df", "\u65e5", "\ufb01", "\u00aa", " ", " ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u200b",
+    ]
+    rng, path = random.Random(7), P.path("word_bpe_49k.json")
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(100_000)]
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert tokens.Counter(path).count([t.encode() for t in texts]) == want
+    assert tokens.Counter(path).count([b"<|ENDOFTEXT|>", b"a<|EndOfText|>b"]) == [6, 8]
+
+
 # 3
 
 

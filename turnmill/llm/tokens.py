@@ -25,8 +25,8 @@ from turnmill.llm.common import table
 CACHE, BATCH_BYTES, LONGEST_CACHED = 900_000, 1 << 20, 64
 LIMIT = 2048
 _LED = re.compile(rb"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])")
-#: A lower-case word with marks after it that form one piece of their own, and none that open a contraction or special string.
-_PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!#-&(-/:;=@\[-`{}~]*)")
+#: A word with marks after it that form one piece of their own, and none that open a contraction or special string.
+_PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([!#-&(-/:;=@\[-`{}~]*)")
 _LATIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 _WORD_LAYOUT = (
@@ -54,7 +54,7 @@ class Counter:
             self.encode = lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
-            # lower-cased words and marks apart, white space gone: the one layout where pieces are words
+            # words and marks apart, white space gone: the one layout where pieces are words
             self.dropped = (spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"]) == _WORD_LAYOUT
             if self.dropped:
                 self.model = tok.model
@@ -77,7 +77,8 @@ class Counter:
 
     def pieces(self, text: bytes) -> list[bytes]:
         if self.dropped:
-            return text.lower().split() if self.model is not None else text.split()
+            # in their own case: the library finds its special strings before it lower-cases
+            return text.split()
         found = _LED.split(text) if text else []
         return found[:1] + [b"\0" + x[1:] for x in found[1:]] if self.mark else found
 
