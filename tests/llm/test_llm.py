@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL, TINY, against_sql
@@ -195,6 +196,41 @@ def test_mix_of_overlapping_sources(spark):
     assert abs(sum(r.taken for r in out) - sum(r["size"] for r in out)) <= 3 * 12
 
 
+def test_mix_beyond_the_boundary(spark, monkeypatch):
+    """With EDGE 4 the boundary is found digit by digit, also among rows alike in id and size; targets are recomputed here."""
+    monkeypatch.setattr(mixing, "EDGE", 4)
+    rows = [(i if i % 3 else None, "w " * (1 + i % 9), "abc"[i % 2 + (i > 500)]) for i in range(900)] + [(7, "same row", None)] * 200
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(words(t))
+    total, weight, left, goal = sum(size.values()), dict(zip(["a", "b", "c", None], (1, 2, 3, 1))), sum(size.values()), {}
+    while len(goal) < 4:  # pour out what is left by weight, fix what overflows, pour again
+        open_ = [s for s in weight if s not in goal]
+        level = Fraction(left, sum(weight[s] for s in open_))
+        full = [s for s in open_ if level * weight[s] > 3 * size[s]]
+        for s in full or open_:
+            goal[s] = Fraction(3 * size[s]) if full else level * weight[s]
+        left = total - sum(goal.values())
+    taken = Counter()
+    for r in out:
+        taken[r.pattern] += r.taken
+        assert r.taken % r["size"] == 0 and r.taken <= 3 * r["size"]
+    assert {r.pattern: r.target for r in out} == pytest.approx({'["0a"]': float(goal["a"]), '["0b"]': float(goal["b"]), '["0c"]': float(goal["c"]), '["1"]': float(goal[None])})
+    for p, t in taken.items():
+        assert abs(t - {r.pattern: r.target for r in out}[p]) <= 9
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_word_count(spark):
+    texts = [t for t in NASTY_TEXTS] + ["\x1c", " a\x1cb c ", "\x0b", "\U0001f600 x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.word_count(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len(words(t)) for i, t in enumerate(texts)}
+
+
 # 4
 
 

@@ -2,30 +2,32 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). The network runs from supply through
 patterns to sources: a pattern can give its words once for nothing, a second and third time at growing cost, a source
-takes up to its quota; successive shortest paths route the quotas over the few patterns, so repetition starts only where
-sources run short. Each pattern's share is then filled with documents in seeded order: whole copies of all, and one copy
-more for the first documents in md5 order; the boundary bucket is filled greedily in that order so that the words taken
-come near the share. Buckets are counted before any ordering, so no task orders more than one bucket of one pattern.
+takes up to its quota; successive shortest paths route the quotas, so repetition starts only where sources run short. Patterns
+that share no source are networks of their own and routed apart. Each pattern's share is then filled with documents in seeded
+order: whole copies of all, and one copy more for the first documents in the order of their marks. The place where the share
+runs out is found digit by digit of the mark, from counts, until at most EDGE documents of a pattern are left; these are
+filled greedily in order by a fold, so that the words taken come near the share. No task orders more than that.
 
 Only pattern totals reach the driver, at most PATTERNS of them (more raise an error rather than being dropped).
 Null text has size 0 and is never taken; a null source is a source of its own, sorted last; repeated rows are documents
-of their own, ordered by (md5, size). Columns beyond doc_id, text and source are ignored.
+of their own: rows that agree in id and size are alike, and which of them is taken does not show. Columns beyond doc_id,
+text and source are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import broadcast_if, materialize, table
+from turnmill.llm.common import WHITE, broadcast_if, materialize, table
 
-COSTS, WEIGHTS, SEED, FINEST, PATTERNS = (0, 1, 3), (1, 2, 3), 42, 4096, 100_000
-_PER_BUCKET = 256
+COSTS, WEIGHTS, SEED, EDGE, PATTERNS = (0, 1, 3), (1, 2, 3), 42, 512, 100_000
+_MARK = 30
 
 
 def targets(sizes: list[int], weights: list[int], most: int = len(COSTS)) -> list[Fraction]:
@@ -89,44 +91,93 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], costs:
     return {(p, e[0] - 1 - n_p): graph[e[0]][e[3]][1] for p in range(n_p) for e in graph[1 + p] if n_p < e[0] < sink and graph[e[0]][e[3]][1]}
 
 
+def route_apart(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], costs: tuple[int, ...] = COSTS) -> dict[tuple[int, int], int]:
+    """route() over each set of patterns that sources connect."""
+    root = list(range(len(quotas)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for members, _ in patterns:
+        for m in members[1:]:
+            root[find(m)] = find(members[0])
+    parts, out = defaultdict(list), {}
+    for p, (members, _) in enumerate(patterns):
+        parts[find(members[0])].append(p)
+    for chosen in parts.values():
+        used = sorted({m for p in chosen for m in patterns[p][0]})
+        at = {m: i for i, m in enumerate(used)}
+        flow = route([(tuple(at[m] for m in patterns[p][0]), patterns[p][1]) for p in chosen], [quotas[m] for m in used], costs)
+        out.update({(chosen[p], used[s]): words for (p, s), words in flow.items()})
+    return out
+
+
 def word_count(text: Column) -> Column:
-    return F.when(F.length(F.trim(text)) == 0, 0).otherwise(F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0))).cast("bigint")
+    """Each word with the white space around it becomes one character; no array of words is built."""
+    ones = F.regexp_replace(text, "[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+", "x")
+    return F.when(F.btrim(text, F.lit(WHITE)) == "", 0).otherwise(F.coalesce(F.length(ones), F.lit(0))).cast("bigint")
+
+
+def _boundaries(rows: DataFrame, per: DataFrame, n: int) -> DataFrame:
+    """(pattern, cut, left): the first digits of the marks among which a pattern's rest runs out, at most EDGE rows, and what is left there."""
+    start = per.where("rest > 0").select("pattern", F.lit("").alias("cut"), F.col("rest").alias("left"), "docs")
+    done, todo = [start.where(f"docs <= {EDGE}").drop("docs")], start.where(f"docs > {EDGE}").drop("docs")
+    for level in range(_MARK if todo.limit(1).count() else 0):
+        digit = F.substring("mark", level + 1, 1).alias("digit")
+        inside = rows.join(broadcast_if(todo, n, 10_000), "pattern").where(F.substring("mark", 1, level) == F.col("cut"))
+        counts = inside.groupBy("pattern", "cut", "left", digit).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        before = Window.partitionBy("pattern").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        at = counts.where("left >= below AND left < below + words")
+        at = materialize(at.select("pattern", F.concat("cut", "digit").alias("cut"), (F.col("left") - F.col("below")).alias("left"), "n"), "mix-cut")
+        last = level + 1 == _MARK
+        done.append(at.where("true" if last else f"n <= {EDGE}").drop("n"))
+        todo = at.where(f"n > {EDGE}").drop("n")
+        if last or not todo.limit(1).count():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In one boundary bucket: documents in seeded order join the mix while they fit into what is left."""
-    pdf = pdf.sort_values(["mark", "size", "doc_id"], kind="stable").reset_index(drop=True)
-    left, extra = int(pdf["rest"].iloc[0]), []
-    for size in pdf["size"].tolist():
-        extra.append(0 < size <= left)
-        left -= size if extra[-1] else 0
-    if skipped := [(s, i) for i, s in enumerate(pdf["size"].tolist()) if not extra[i] and 0 < s < 2 * left]:
-        extra[min(skipped)[1]] = True
-    pdf["taken"] = pdf["size"] * (pdf["base"] + pd.Series(extra, dtype="int64"))
-    return pdf[["doc_id", "size", "pattern", "taken"]]
+def _filled(edge: DataFrame) -> DataFrame:
+    """Documents at the boundary in seeded order join the mix while they fit into what is left; then the smallest that brings the sum nearer."""
+    order = F.sort_array(F.collect_list(F.struct("mark", "size", "doc_id", "base")))
+    each = edge.groupBy("pattern", "left").agg(order.alias("rows"))
+    fits = lambda a, x: (x["size"] > 0) & (x["size"] <= a["left"])
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<boolean>").alias("in"))
+    fold = F.aggregate("rows", start, lambda a, x: F.struct((a["left"] - F.when(fits(a, x), x["size"]).otherwise(0)).alias("left"), F.concat(a["in"], F.array(fits(a, x))).alias("in")))
+    each = each.withColumn("fold", fold)
+    near = F.filter(F.zip_with("rows", "fold.in", lambda x, taken: F.when(~taken & (x["size"] > 0) & (x["size"] < 2 * F.col("fold.left")), F.struct(x["size"], x["mark"]))), lambda x: x.isNotNull())
+    each = each.select("pattern", F.array_min(near).alias("extra"), F.explode(F.arrays_zip("rows", F.col("fold.in").alias("in"))).alias("x"))
+    more = F.coalesce(F.col("x.in") | (F.col("extra.mark") == F.col("x.rows.mark")), F.col("x.in"))
+    return each.select("x.rows.doc_id", "x.rows.size", "pattern", (F.col("x.rows.size") * (F.col("x.rows.base") + more.cast("bigint"))).alias("taken"))
 
 
-def select(sized: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame:
-    """sized (doc_id, size, pattern) and shares (pattern, words, share) to (doc_id, size, pattern, taken)."""
+def select(sized: DataFrame, shares: DataFrame) -> DataFrame:
+    """sized (doc_id, size, pattern, mark) and shares (pattern, words, docs, share) to (doc_id, size, pattern, taken)."""
     n = shares.count()
-    per = shares.select(
-        "pattern", F.floor(F.try_divide("share", "words")).alias("base"), (F.col("share") % F.when(F.col("words") > 0, F.col("words"))).alias("rest"),
-        F.least(F.lit(FINEST), F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.lit(1), F.col("docs") / _PER_BUCKET))))).cast("int").alias("buckets"),
-    ).na.fill(0, ["base", "rest"])
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mark")
-    rows = sized.select("doc_id", "size", "pattern", mark).join(broadcast_if(per, n, 10_000), "pattern")
-    rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("mark", 1, 3), 16, 10).cast("int") * F.col("buckets") / F.lit(FINEST)).cast("int"))
-    rows = materialize(rows, "mix")
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.groupBy("pattern", "bucket", "rest").agg(F.sum("size").alias("words")).withColumn("below", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    cut = cut.where("rest >= below AND rest < below + words").select("pattern", F.col("bucket").alias("cut"), (F.col("rest") - F.col("below")).alias("left"))
-    cut = materialize(cut, "mix-cut")
-    rows = rows.join(broadcast_if(cut, n, 10_000), "pattern", "left")
-    settled = F.coalesce(F.col("bucket") != F.col("cut"), F.lit(True))
-    whole = rows.where(settled).select("doc_id", "size", "pattern", (F.col("size") * (F.col("base") + F.coalesce((F.col("bucket") < F.col("cut")).cast("bigint"), F.lit(0)))).alias("taken"))
-    edge = rows.where(~settled).drop("rest").withColumnRenamed("left", "rest")
-    kind = dict(sized.dtypes)
-    return whole.unionByName(edge.groupBy("pattern").applyInPandas(_fill, f"doc_id {kind['doc_id']}, size bigint, pattern string, taken bigint"))
+    words = F.when(F.col("words") > 0, F.col("words"))
+    per = shares.select("pattern", "docs", F.coalesce(F.floor(F.try_divide("share", words)), F.lit(0)).alias("base"), F.coalesce(F.col("share") % words, F.lit(0)).alias("rest"))
+    cuts = _boundaries(sized, per, n)
+    known = materialize(per.drop("docs").join(cuts, "pattern", "left").select("pattern", "base", "cut", "left"), "mix-known")
+    rows = sized.join(broadcast_if(known, n, 10_000), "pattern")
+    prefix = F.substring(F.col("mark"), F.lit(1), F.length("cut"))
+    whole = rows.where(F.col("cut").isNull() | (prefix != F.col("cut")))
+    whole = whole.select("doc_id", "size", "pattern", (F.col("size") * (F.col("base") + F.coalesce((prefix < F.col("cut")).cast("bigint"), F.lit(0)))).alias("taken"))
+    return whole.unionByName(_filled(rows.where(prefix == F.col("cut"))))
+
+
+def marked(docs: DataFrame, pattern: Column, seed: int) -> DataFrame:
+    """(doc_id, size, pattern, mark): 15 hex digits of a seeded hash of id and size give the order, 15 of the row's number part rows that agree in both."""
+    sized = docs.select("doc_id", word_count(F.col("text")).alias("size"), pattern.alias("pattern"), F.monotonically_increasing_id().alias("__row"))
+    first = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    second = F.lower(F.lpad(F.hex(F.xxhash64("__row")), 16, "0"))
+    return sized.select("doc_id", "size", "pattern", F.concat(F.substring(first, 1, _MARK // 2), F.substring(second, 1, _MARK // 2)).alias("mark"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -138,7 +189,7 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -
     many = dict(docs.dtypes)["source"].startswith("array")
     name = lambda s: F.when(s.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), s))
     pattern = F.to_json(F.array_sort(F.array_distinct(F.transform(F.coalesce(F.when(F.size("source") > 0, F.col("source")), F.array(F.lit(None).cast("string"))), name)))) if many else F.to_json(F.array(name(F.col("source"))))
-    sized = materialize(docs.select("doc_id", word_count(F.col("text")).alias("size"), pattern.alias("pattern")), "sized")
+    sized = materialize(marked(docs, pattern, seed), "sized")
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
     found = totals.withColumn("sources", F.from_json("pattern", "array<string>")).limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
@@ -155,13 +206,13 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -
         scale = Fraction(sum(r["words"] for r in found), sum(size))
         goal = [g * scale for g in goal]
     patterns = [(tuple(at[s] for s in r["sources"]), r["words"]) for r in found]
-    flow = route(patterns, [int(g + Fraction(1, 2)) for g in goal])
+    flow = route_apart(patterns, [int(g + Fraction(1, 2)) for g in goal])
     share = [0] * len(found)
     for (p, _), words in flow.items():
         share[p] += words
     rows = [(r["pattern"], r["words"], r["docs"], share[p], sum(size[i] for i in patterns[p][0]), float(sum(goal[i] for i in patterns[p][0]))) for p, r in enumerate(found)]
     shares = spark.createDataFrame(rows, "pattern string, words bigint, docs bigint, share bigint, source_size bigint, target double")
-    taken = select(sized, shares, seed)
+    taken = select(sized, shares)
     return taken.join(broadcast_if(shares.select("pattern", "source_size", "target"), len(rows), 10_000), "pattern")
 
 
