@@ -426,14 +426,35 @@ def test_line_dedup_small(spark, nasty):
     assert sum(w[2] for w in want) == 7
 
 
+def test_line_dedup_counts_documents_not_rows(spark, tables):
+    """Two documents of three rows each share a line: two documents have it, so it stays. Five documents lose it but in the last, row by row."""
+    rows = [(d, f"{LINE}\nrow {i}", "en", "a", 1, "k", 1, 2, "p") for d in (1, 2) for i in range(3)] + [(d, f"{LINE} x\n{d}", "en", "a", 1, "k", 1, 2, "p") for d in (1, 1, 2, 3, 4, 5, 5)]
+    where = tables(documents=(rows, DOCS))
+    got = sorted((r.doc_id, r.n_dropped) for r in linededup.op7_line_dedup(spark, where).collect())
+    assert got == sorted([(d, 0) for d in (1, 2) for _ in range(3)] + [(d, int(d < 5)) for d in (1, 1, 2, 3, 4, 5, 5)])
+    against_sql(spark, linededup.op7_line_dedup, registry.SQL["op7_line_dedup"], where)
+
+
+def test_line_dedup_sql_on_hard_rows(spark, nasty):
+    against_sql(spark, linededup.op7_line_dedup, registry.SQL["op7_line_dedup"], nasty)
+
+
 def test_line_runs_are_levelled(spark):
-    runs, frames = linededup.LineRuns(fanout=2), [spark.createDataFrame([(10 * b + i, f"{LINE} {i % 3} batch {b // 2}") for i in range(6)], "doc_id bigint, text string") for b in range(5)]
-    for f in frames:
-        runs.add_batch(f)
+    lines = lambda rows: linededup.lines_of(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    runs = linededup.LineRuns(spark, fanout=2)
+    for b in range(5):
+        runs.add_batch(lines([(10 * b + i, f"{LINE} {i % 3} batch {b // 2}") for i in range(6)]))
     assert {level: len(r) for level, r in runs.levels.items() if r} == {0: 1, 2: 1}
-    assert {(r.n, r["last"]) for r in runs.all().collect()} >= {(4, 13), (4, 33)}
-    assert runs.unseen(frames[0]).count() == 0
-    assert runs.unseen(spark.createDataFrame([(99, f"{LINE} is new")], "doc_id bigint, text string")).count() == 1
+    keys = [tuple(r) for run in runs.runs() for r in run.select("h1", "h2").collect()]
+    assert len(keys) == len(set(keys)) == 9  # a key stands in one run
+    assert sorted((r.n, r["last"]) for r in runs.totals().collect()) == sorted([(4, 10 + i) for i in (3, 4, 5)] + [(4, 30 + i) for i in (3, 4, 5)] + [(2, 40 + i) for i in (3, 4, 5)])
+    old = runs._bucketed(linededup.count_lines(lines([(98, f"{LINE} 0 batch 0"), (99, f"{LINE} is new")])), "batch")
+    assert [r["last"] for r in runs.unseen(old).collect()] == [99]
+    plan = runs.unseen(old)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    merged = linededup.LineRuns._merge(*runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in merged and "Exchange" not in merged
+    runs.drop()
 
 
 # 8

@@ -29,11 +29,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: later plans start from files that outlive an executor."""
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write df to the shared scratch folder, partitioned by columns if given, and read it back: later plans start from files that outlive an executor."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._turnmill_path = path
     return out
