@@ -92,17 +92,55 @@ def test_quality_measures(spark, nasty):
 def test_quality_bound_is_exact_and_controls_false_rejection():
     for k, n, p in ((0, 10, 0.3), (3, 40, 0.05), (20, 1000, 0.01)):
         assert quality.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-    rng, broken = random.Random(5), 0
-    for _ in range(200):  # true false rejection at the cutoff of 50 is 3 %: it must hardly ever be certified
-        counts = {("en", "repeats"): defaultdict(lambda: [0, 0])}
+    rng, broken, all_rules = random.Random(5), 0, quality.PATHS.index(tuple(quality.RULES))
+    for _ in range(200):  # each rule rejects 1 % of good rows at its cutoff, all three 3 %: together they must hardly ever be certified
+        counts: dict = defaultdict(lambda: defaultdict(lambda: [0, 0]))
         for _ in range(800):
-            counts["en", "repeats"][60 if rng.random() < 0.03 else 0][1] += 1
-            counts["en", "repeats"][60][0] += 1
-        broken += bool(quality.certify(counts))
+            hit = [rng.random() < 0.01 for _ in quality.RULES]
+            for p, rules in enumerate(quality.PATHS):
+                step = 20 if any(h for h, r in zip(hit, quality.RULES) if r in rules) else quality.STEPS
+                counts["en", p][step][1] += 1
+                counts["en", p][20][0] += 1
+        found = quality.certify(counts)
+        strict = all(quality.cutoff_at(r, 20) >= found.get(("en", r), 10**9) for r in quality.RULES)
+        broken += strict
     assert broken <= 2
-    sure = {("en", "repeats"): {0: [0, 3000], 60: [500, 2]}}
-    assert quality.certify(sure)
-    assert not quality.certify({("en", "repeats"): {0: [0, 20], 60: [5, 0]}})
+    assert quality.certify({("en", all_rules): {quality.STEPS: [0, 3000], 20: [500, 2]}}) == {("en", r): quality.cutoff_at(r, 20) for r in quality.RULES}
+    assert not quality.certify({("en", all_rules): {quality.STEPS: [0, 20], 20: [5, 0]}})
+    assert not quality.certify({("en", all_rules): {quality.STEPS: [0, 3000], 20: [500, 31]}})
+
+
+def test_quality_kept_is_recomputed(spark):
+    """kept by brute force: cutoffs from Python counts over all labels, then every document judged by itself."""
+    rows = {r.doc_id: r for r in quality.op1_quality_rules(spark, SMALL).collect()}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    good = {}
+    for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
+        if r.doc_id is not None and r.quality is not None:
+            good[r.doc_id] = max(good.get(r.doc_id, 0), r.quality)
+    stratum = lambda d: docs[d].lang if docs[d].lang in ("de", "en", "es", "fr") else "other"
+
+    def scores(d):
+        r, lines = rows[d], len((docs[d].text or "").split("\n"))
+        return {"symbols": min(300, 100 * r.n_symbols // r.n_words) if r.n_words else 0, "dup_lines": 100 * r.n_dup_lines // lines, "repeats": 100 * r.n_repeat_words // r.n_words if r.n_words else 0}
+
+    best, cutoffs = {}, {}
+    score = {d: scores(d) for d in docs}
+    for s in {stratum(d) for d in good if d in docs}:
+        of = [d for d in good if d in docs and stratum(d) == s]
+        n = sum(good[d] > 0 for d in of)
+        for rules in quality.PATHS:
+            for t in range(quality.STEPS):
+                cut = {r: quality.cutoff_at(r, t) for r in rules}
+                out = [d for d in of if any(score[d][r] >= c for r, c in cut.items())]
+                false, junk = sum(good[d] > 0 for d in out), sum(good[d] == 0 for d in out)
+                if not n or false >= 0.01 * n or sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(false + 1)) > 0.05 / (5 * 7):
+                    break
+                gain = junk / max(len(of) - n, 1) - 5 * false / n
+                if gain > best.get(s, 0) + 1e-12:
+                    best[s], cutoffs[s] = gain, cut
+    for d, r in rows.items():
+        assert r.kept == (not r.base_failed and not any(score[d][k] >= c for k, c in cutoffs.get(stratum(d), {}).items()))
 
 
 # 2

@@ -1,11 +1,12 @@
 """Operator 1: quality rules with risk-controlled cutoffs.
 
-Base measures come from one pass over whole texts. A rule rejects a document whose score reaches a cutoff; the cutoff
-of each (stratum, rule) is certified on labelled rows: walking a fixed grid from lenient to strict, a cutoff is accepted
-while the exact binomial probability of so few false rejections, were the true rate ALPHA, is at most
-DELTA / (strata x rules) - Clopper-Pearson with a Bonferroni correction over strata and rules, fixed-sequence testing
-within a grid. Among certified cutoffs the one that rejects most labelled junk wins, ties to the most lenient. A
-stratum with too few labels certifies nothing and so rejects nothing.
+Base measures come from one pass over whole texts. A document is rejected if any of its stratum's rules reaches its cutoff. What is
+certified, on all labelled rows, is the whole set of a stratum's cutoffs: the share of good documents that the rules reject
+together is under ALPHA. A path is a fixed sequence of such sets from lenient to strict, one path for each subset of the rules; along it
+a set is accepted while the exact binomial probability of so few false rejections, were the true rate ALPHA, is at most
+DELTA / (strata x paths) - Clopper-Pearson with a Bonferroni correction over strata and paths, fixed-sequence testing
+within a path. So with probability 1 - DELTA all accepted sets keep the bound, and any may be chosen: the one that rejects most
+labelled junk wins, ties to the most lenient. A stratum with too few labels certifies nothing and so rejects nothing.
 
 Null text counts as empty (no words, so base_failed). Null or unlisted lang falls into stratum "other". Repeated rows
 are judged each; repeated labels of a document count once, the best quality. Columns beyond those named are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words", tuple(range(95, 9, -5))),
 }
 ALPHA, DELTA = 0.01, 0.05
+PATHS = [rules for n in range(1, len(RULES) + 1) for rules in combinations(RULES, n)]
+STEPS = max(len(grid) for _, _, grid in RULES.values())
 
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _TYPE = "struct<" + ",".join(f"{f}:bigint" for f in _FIELDS) + ">"
@@ -105,33 +109,44 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return total
 
 
-def certify(counts: dict[tuple[str, str], dict[int, list[int]]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """(stratum, rule) -> cutoff. counts: score -> [junk rows, good rows]."""
-    level, chosen = delta / ((len(STRATA) + 1) * len(RULES)), {}
-    for (stratum, rule), by_score in counts.items():
-        n, junk_n = sum(x[1] for x in by_score.values()), sum(x[0] for x in by_score.values())
-        best = 0.0
-        for cutoff in RULES[rule][2]:
-            good = sum(x[1] for s, x in by_score.items() if s >= cutoff)
-            junk = sum(x[0] for s, x in by_score.items() if s >= cutoff)
+def cutoff_at(rule: str, step: int) -> int:
+    """The rule's cutoff at a step of a path; all grids run from lenient to strict over STEPS steps."""
+    grid = RULES[rule][2]
+    return grid[step * len(grid) // STEPS]
+
+
+def first_step(rule: str, score: Column) -> Column:
+    """The first step whose cutoff the score reaches; STEPS if none does."""
+    reached = F.array(*[F.lit(cutoff_at(rule, t)) for t in range(STEPS)])
+    return F.size(F.filter(reached, lambda c: c > score))
+
+
+def certify(counts: dict[tuple[str, int], dict[int, list[int]]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
+    """(stratum, rule) -> cutoff. counts: (stratum, path) -> first step that rejects -> [junk rows, good rows]."""
+    level, best, chosen = delta / ((len(STRATA) + 1) * len(PATHS)), defaultdict(float), {}
+    for (stratum, path), by_step in sorted(counts.items()):
+        n, junk_n = sum(x[1] for x in by_step.values()), sum(x[0] for x in by_step.values())
+        for step in range(STEPS):
+            good = sum(x[1] for s, x in by_step.items() if s <= step)
+            junk = sum(x[0] for s, x in by_step.items() if s <= step)
             if not n or good >= alpha * n or binomial_tail(good, n, alpha) > level:
                 break
             gain = junk / max(junk_n, 1) - 5 * good / n
-            if gain > best + 1e-12:
-                best, chosen[stratum, rule] = gain, cutoff
-    return chosen
+            if gain > best[stratum] + 1e-12:
+                best[stratum], chosen[stratum] = gain, (path, step)
+    return {(stratum, rule): cutoff_at(rule, step) for stratum, (path, step) in chosen.items() for rule in PATHS[path]}
 
 
 def fit_cutoffs(measures: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """Cutoffs from all labelled rows. Only (strata x rules x grid) counts, a fixed number, reach the driver."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("__good"))
-    rows = measures.select("doc_id", "lang", "__q").join(known, "doc_id").select(
-        _stratum(F.col("lang")).alias("stratum"), (F.col("__good") > 0).cast("int").alias("good"),
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _score(r, lambda c: F.col(f"__q.{c}")).alias("score")) for r in RULES])).alias("s"),
-    )
+    """Cutoffs from all labelled rows. Only (strata x paths x steps) counts, a fixed number, reach the driver."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__label")).agg(F.max("quality").alias("__good"))
+    step = {r: first_step(r, _score(r, lambda c: F.col(f"__q.{c}"))) for r in RULES}
+    rows = measures.join(known, F.col("doc_id") == F.col("__label")).select(_stratum(F.col("lang")).alias("stratum"), (F.col("__good") > 0).cast("int").alias("good"), *[c.alias(f"__{r}") for r, c in step.items()])
+    first = lambda rules: F.least(*[F.col(f"__{r}") for r in rules]) if len(rules) > 1 else F.col(f"__{rules[0]}")
+    rows = rows.select("stratum", "good", F.posexplode(F.array(*[first(rules) for rules in PATHS])).alias("path", "step"))
     counts: dict = defaultdict(lambda: defaultdict(lambda: [0, 0]))
-    for r in rows.groupBy("stratum", "s.rule", "s.score", "good").count().collect():
-        counts[r["stratum"], r["rule"]][r["score"]][r["good"]] += r["count"]
+    for r in rows.groupBy("stratum", "path", "step", "good").count().collect():
+        counts[r["stratum"], r["path"]][r["step"]][r["good"]] += r["count"]
     return certify(counts, alpha, delta)
 
 
@@ -159,9 +174,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and every certified cutoff, with their own columns only."""
-    measures = materialize(measured(docs.select("doc_id", "lang", "text")).drop("text"), "quality-fit")
-    cutoffs = fit_cutoffs(measures, table(spark, sf_dir, "labels"))
-    return measured(docs).where(~base_failed() & rejected_by(cutoffs).isNull()).drop("__q")
+    rows = materialize(measured(docs), "quality-measured")
+    cutoffs = fit_cutoffs(rows, table(spark, sf_dir, "labels"))
+    return rows.where(~base_failed() & rejected_by(cutoffs).isNull()).drop("__q")
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
