@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SMALL, TINY, against_sql
+from turnmill.llm.common import materialize
 from turnmill.llm import chat, decontaminate, htmltext, linededup, lm, mixing, quality, registry, simhash, tokens, urlfilter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, h1 bigint, size int, pattern string"
@@ -572,28 +573,93 @@ def test_url_rules(spark, tables):
 # the pipeline
 
 
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{TINY}/documents.parquet")
-    columns, kept = docs.columns, {r.doc_id: r.text for r in docs.collect()}
-    for i, (name, step) in enumerate(corpus_pipeline.STAGES):
-        docs = spark.createDataFrame(step(spark, docs, TINY).toArrow())
-        now = docs.collect()
-        ids = {r.doc_id for r in now}
-        assert ids <= set(kept)
-        if name == "quality":
-            op = {r.doc_id for r in quality.op1_quality_rules(spark, TINY).collect() if r.kept}
-            assert ids == op
+def leaking(docs, items):
+    """Ids of documents (id, text) that hold a window of similarity 0.8 or more to an item, over all windows."""
+    out = set()
+    for j, item in items:
+        iw = words(lower(item))
+        k, counts = min(5, len(iw)), Counter(bag(iw))
+        m = sum(counts.values())
+        for i, text in docs:
+            w = words(lower(text))
+            d = [tuple(w[p : p + k]) for p in range(len(w) - k + 1)] if k else []
+            if i in out or not counts.keys() & set(d):
+                continue
+            for p in range(len(d)):
+                part = Counter(d[p : p + m])
+                if 5 * sum((part & counts).values()) >= 4 * sum((part | counts).values()):
+                    out.add(i)
+                    break
+    return out
+
+
+def check_stages(spark, where, docs):
+    """Every stage against brute force on what the stage before it kept."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{where}/benchmark.parquet").collect() if r.item_id is not None and r.text]
+    columns, key = docs.columns, lambda line: lower(line).strip(" \t\n\x0b\x0c\r")
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    order = lambda rows: sorted(rows, key=str)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(step(spark, docs, where), "stage-test")
+        assert docs.columns == columns
+        now = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "quality" and {d for d, _ in kept} == {r.doc_id for r in quality.op1_quality_rules(spark, where).collect()}:
+            kept_ids = Counter(r.doc_id for r in quality.op1_quality_rules(spark, where).collect() if r.kept)
+            assert Counter(d for d, _ in now) == kept_ids and Counter(now) <= Counter(kept)
+        elif name == "line_dedup":
+            holders = defaultdict(set)
+            for d, t in kept:
+                for line in (t or "").split("\n"):
+                    if d is not None:
+                        holders[key(line)].add(d)
+            gone = lambda d, x: d is not None and len(key(x)) >= 40 and len(holders[key(x)]) >= 5 and d != max(holders[key(x)])
+            assert order(now) == order((d, t if t is None else "\n".join(x for x in t.split("\n") if not gone(d, x))) for d, t in kept)
         elif name == "simhash_near_dedup":
-            of = classes({simhash_of(t) for t in kept.values()})
-            least: dict = {}
-            for d, t in kept.items():
-                c = of[simhash_of(t)]
-                least[c] = min(least.get(c, d), d)
-            assert ids == set(least.values())
-        elif name != "decontamination":
-            assert ids == set(kept)
-        if i < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns
-            kept = {r.doc_id: r.text for r in now}
-        else:
-            assert docs.columns == ["doc_id", "size", "source_size", "target", "taken"]
+            grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(lower(t)) for _, t in kept)]
+            at, root = defaultdict(set), list(range(len(kept)))
+            for i, g in enumerate(grams):
+                near = {j for x in g for j in at[x] if len(g & grams[j]) * 5 >= 4 * len(g | grams[j])}
+                for x in g:
+                    at[x].add(i)
+                low = min([root[i], *[root[j] for j in near]])
+                merged = {root[i], *[root[j] for j in near]}
+                root = [low if r in merged else r for r in root]
+            first: dict = {}
+            for r, (d, _) in zip(root, kept):
+                first[r] = min(first.get(r, (True, 0)), (d is None, d or 0))
+            assert sorted((d is None, d or 0) for d, _ in now) == sorted(first.values()) and Counter(now) <= Counter(kept)
+        elif name == "decontamination":
+            out = leaking([x for x in kept if x[0] is not None], bench)
+            assert order(now) == order((d, t) for d, t in kept if d not in out)
+        kept = now
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, where)
+    assert mixed.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted((str(r.doc_id), r["size"]) for r in mixed.collect()) == sorted((str(d), len(words(t))) for d, t in kept)
+    return mixed
+
+
+def test_pipeline_stages(spark):
+    rows = check_stages(spark, TINY, spark.read.parquet(f"{TINY}/documents.parquet")).collect()
+    taken, goal, longest = Counter(), {}, 0
+    of = {r.doc_id: r.source for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
+    for r in rows:
+        taken[of[r.doc_id]] += r.taken
+        goal[of[r.doc_id]], longest = r.target, max(longest, r["size"])
+    assert all(abs(taken[s] - goal[s]) <= longest for s in goal)
+    assert sorted(map(str, corpus_pipeline.run(spark, TINY).collect())) == sorted(map(str, rows))
+
+
+def test_pipeline_stages_on_hard_rows(spark, nasty):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing columns; each stage begins with rows that pass the one before."""
+    long_ = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    more = [(100 + i, f"{long_} {i}\n{LINE}", None, None, None, None, None, None, None) for i in range(6)] + [(None, f"{long_} lost\n{LINE}", "en", "a", 1, "k", 1, 2, "p")] * 2 + [(100, "another " + long_, "en", "a", 1, "k", 1, 2, "p")]
+    docs = spark.createDataFrame(NASTY_DOCS + more, DOCS)
+    check_stages(spark, nasty, docs)
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, docs, nasty).count() <= docs.count()
+    assert corpus_pipeline.run(spark, nasty).count() <= len(NASTY_DOCS)
+
+
+def test_pipeline_on_empty_tables(spark, tables):
+    where = tables(documents=([], DOCS), labels=([], LABELS), benchmark=([], BENCH))
+    assert corpus_pipeline.run(spark, where).collect() == []

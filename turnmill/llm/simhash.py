@@ -4,8 +4,8 @@ A 64-bit fingerprint is cut into two 32-bit segments. If two fingerprints differ
 at most one, so both share that segment whole or with that bit as a wildcard: 2 x 33 keys per distinct fingerprint,
 joined by equality and verified on all 64 bits. Copies meet first (one row per distinct fingerprint); a key of two
 members is a pair at once; a key of up to HOT members yields a spanning set of verified links, not its pairs; a hotter
-key is cut again by the other segment's two halves (residual radius 3, so one half differs in at most one bit), which
-leaves at most 2^18 fingerprints a key however large the table. Links are joined into components by alternating
+key is cut again by the other segment's two halves (one of which differs in at most one bit), and one that is still hot by the
+quarters of the half left, after which a key has at most 2^11 fingerprints, however large the table. Links are joined into components by alternating
 large-star and small-star rounds on checkpointed edges.
 
 Null text counts as empty; all texts without a word have fingerprint zero and link to each other. A repeated row is its
@@ -116,12 +116,25 @@ def links(distinct: DataFrame) -> DataFrame:
     if n_hot:
         inside = keyed.join(broadcast_if(hot, n_hot, 1 << 20), "key")
         # key < 2^39; the part not in the key is cut into 16-bit halves with 2 x 17 variants
-        other = F.when(F.shiftright("key", 32) < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)))
-        sub = inside.withColumn("v", F.explode(_variants(other, (0, 16), 16))).select("fp", F.shiftleft("key", 22).bitwiseOR(F.col("v.key")).alias("key"), F.col("v.bit").alias("bit"))
-        found = found.union(_keyed_links(sub, None)[0])
+        sub = inside.withColumn("v", F.explode(_variants(_outside(F.col("key")), (0, 16), 16))).select("fp", F.shiftleft("key", 22).bitwiseOR(F.col("v.key")).alias("key"), F.col("v.bit").alias("bit"))
+        more, hot = _keyed_links(sub, HOT)
+        found, n_hot = found.union(more), hot.count()
+    if n_hot:
+        inside = sub.join(broadcast_if(hot, n_hot, 1 << 20), "key")
+        # the half not in the key, in quarters with 2 x 9 variants: what is left free is a quarter and three wildcards
+        half = F.col("key").bitwiseAND(F.lit((1 << 22) - 1))
+        other = _outside(F.shiftrightunsigned("key", 22))
+        left = F.when(F.shiftright(half, 16) < 17, _bits(other, 16, 16)).otherwise(_bits(other, 0, 16))
+        last = inside.withColumn("v", F.explode(_variants(left, (0, 8), 8))).select("fp", F.xxhash64("key", "v.key").alias("key"), F.col("v.bit").alias("bit"))
+        found = found.union(_keyed_links(last, None)[0])
     return found.distinct()
 
 
+def _outside(key: Column) -> Column:
+    """The 32-bit segment of fp that a first key does not hold."""
+    return F.when(F.shiftright(key, 32) < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit((1 << 32) - 1)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b): root is the smallest node it reaches."""
     seen, now = None, materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
