@@ -520,6 +520,19 @@ def bag(w):
     return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if w else []
 
 
+def test_window_fingerprints_and_weights(spark):
+    """Fingerprints of short and long lists, and weighted overlaps with and without repeats, against Python."""
+    rng = random.Random(2)
+    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 64, 300)] + [[5, 5, -9, 5, 7], [rng.getrandbits(64) - (1 << 63)] * 70_000 + [1, 2]]
+    bags = [Counter(rng.choices(x, k=1 + len(x) // 2 % 500)) for x in lists]
+    rows = [(i, x, [(h, c) for h, c in b.items()]) for i, (x, b) in enumerate(zip(lists, bags))]
+    df = spark.createDataFrame(rows, "i int, hs array<bigint>, bag array<struct<h:bigint,c:int>>")
+    for r in df.select("i", decontaminate._simhash(F.col("hs")).alias("fp"), decontaminate._shared("bag", "hs").alias("s")).collect():
+        x = lists[r.i]
+        assert r.fp & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x))
+        assert r.s == sum((Counter(x) & bags[r.i]).values())
+
+
 def test_decontamination_against_all_windows(spark, tables):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(400)]

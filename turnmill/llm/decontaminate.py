@@ -32,27 +32,67 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(hashed: Column, width: int) -> Column:
+    """Hash of each run of `width` elements, by halves: a run of 5 is one of 4 and the next element."""
+    if width == 1:
+        return hashed
+    first = 1 << (width - 1).bit_length() - 1
+    after = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
+    until = lambda a, k: F.slice(a, 1, F.greatest(F.size(a) - k, F.lit(0)))
+    rest = width - first
+    join = lambda a, b: F.zip_with(until(a, rest), after(b, first), lambda x, y: F.xxhash64(x, y))
+    return _let(_runs(hashed, first), lambda a: join(a, a if first == rest else _runs(hashed, rest)))
+
+
 def _hashes(words: str, width: int) -> Column:
-    """Hash of each run of `width` words."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(width))))
+    """Hash of each run of `width` words; each word is hashed once."""
+    return F.when(F.size(words) >= width, _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _runs(h, width)))
 
 
 def _items(items: DataFrame) -> DataFrame:
-    """(item_id, m, width, bag): number of shingles, their width, and array of (h, c)."""
-    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().select("item_id", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """(item_id, width, m, fp, bag): width and number of shingles, fingerprint, and array of (h, c)."""
+    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().select("item_id", F.xxhash64("text").alias("row"), _words(F.col("text")).alias("w")).where(F.size("w") > 0)
     hs = F.lit(None).cast("array<bigint>")
     for width in range(1, SHINGLE + 1):
         hs = F.when(F.least(F.size("w"), F.lit(SHINGLE)) == width, _hashes("w", width)).otherwise(hs)
-    rows = rows.select("item_id", F.least(F.size("w"), F.lit(SHINGLE)).alias("width"), hs.alias("hs"))
-    bag = F.transform(F.array_distinct("hs"), lambda h: F.struct(h.alias("h"), F.size(F.filter("hs", lambda x: x == h)).alias("c")))
-    return rows.select("item_id", "width", F.size("hs").alias("m"), "hs", bag.alias("bag"))
+    rows = rows.select("item_id", "row", F.least(F.size("w"), F.lit(SHINGLE)).alias("width"), hs.alias("hs"))
+    each = rows.select("item_id", "row", F.explode("hs").alias("h")).groupBy("item_id", "row", "h").agg(F.count("*").cast("int").alias("c"))
+    bags = each.groupBy("item_id", "row").agg(F.collect_list(F.struct("h", "c")).alias("bag"))
+    return rows.select("item_id", "row", "width", F.size("hs").alias("m"), _simhash(F.col("hs")).alias("fp")).join(bags, ["item_id", "row"])
 
 
 def _simhash(hs: Column) -> Column:
-    """Bit b is 1 if set in over half the hashes."""
-    bit = lambda b: F.when(F.aggregate(hs, F.lit(0).cast("bigint"), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1))) * 2 > F.size(hs), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-    return F.aggregate(F.array(*[bit(b) for b in range(64)]), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    """Bit b is 1 if set in over half the hashes. One sum holds the counts of four bits, or of two for over 65,535 hashes."""
+    def of(lane: int) -> Column:
+        n, mask = 64 // lane, sum(1 << lane * i for i in range(64 // lane))
+        add = lambda b: lambda s, h: s + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(mask))
+        sums = [F.aggregate(hs, F.lit(0).cast("bigint"), add(b)) for b in range(lane)]
+        low = (1 << lane) - 1
+
+        def bits(total: Column) -> Column:
+            out = F.lit(0).cast("bigint")
+            for b in range(lane):
+                for i in range(n):
+                    count = F.shiftrightunsigned(F.get(total, F.lit(b)), lane * i).bitwiseAND(F.lit(low))
+                    out = out.bitwiseOR(F.when(count * 2 > F.size(hs), F.shiftleft(F.lit(1).cast("bigint"), lane * i + b)).otherwise(F.lit(0).cast("bigint")))
+            return out
+
+        return _let(F.array(*sums), bits)
+
+    return F.when(F.size(hs) < 1 << 16, of(16)).otherwise(of(32))
+
+
+def _shared(bag: str, hs: str) -> Column:
+    """Sum of the smaller weights. Where one side has no repeats, that is the size of the intersection."""
+    hs, bag = (F.col(c) if isinstance(c, str) else c for c in (hs, bag))
+    simple = (F.size(F.array_distinct(hs)) == F.size(hs)) | ~F.exists(bag, lambda x: x["c"] > 1)
+    weighed = F.aggregate(bag, F.lit(0), lambda n, x: n + F.least(x["c"], F.size(F.filter(hs, lambda h: h == x["h"]))))
+    return F.when(simple, F.size(F.array_intersect(hs, F.transform(bag, lambda x: x["h"])))).otherwise(weighed)
 
 
 def _block(fp: Column, i: int) -> Column:
@@ -66,7 +106,7 @@ def _blocks(fp: Column) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, shared, of, similarity) of the best window of each pair with similarity 0.8 or more."""
     top, bottom = SIMILARITY
-    bench = materialize(_items(items), "bench")
+    bench = materialize(_items(items).withColumn("item", F.monotonically_increasing_id()), "bench")
     n_items, n_shingles, widths = bench.agg(F.count("*"), F.coalesce(F.sum(F.size("bag")), F.lit(0)), F.collect_set("width")).first()
     # shingle -> the item sizes it can open a window of
     probe = bench.select("width", "m", F.explode("bag.h").alias("h")).groupBy("width", "h").agg(F.collect_set("m").alias("ms"))
@@ -90,13 +130,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = windows.where(F.size("hs") * bottom >= F.col("m") * top)
     windows = materialize(windows.withColumn("fp", _simhash(F.col("hs"))), "windows")
     blocks = windows.select("*", F.explode(_blocks(F.col("fp"))).alias("b"))
-    known = bench.select("item_id", "width", "m", "bag", _simhash(F.col("hs")).alias("item_fp")).select("*", F.explode(_blocks(F.col("item_fp"))).alias("b"))
+    known = bench.select("item", "width", "m", F.col("fp").alias("item_fp")).select("*", F.explode(_blocks(F.col("item_fp"))).alias("b"))
     met = blocks.join(broadcast_if(known, n_items * (RADIUS + 1), MOST_BROADCAST), ["width", "m", "b"])
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*[F.when(_block(differ, i) == 0, F.lit(i)) for i in range(RADIUS + 1)])
     met = met.where((F.bit_count(differ) <= RADIUS) & (first == F.col("b.i")))
-    shared = F.aggregate("bag", F.lit(0), lambda n, x: n + F.least(x["c"], F.size(F.filter("hs", lambda h: h == x["h"]))))
-    found = met.select("doc_id", "item_id", "start", shared.alias("shared"), "m", "size").withColumn("of", F.col("m") + F.col("size") - F.col("shared"))
+    # shingles of items travel once a candidate, not once a block; the broadcast is bounded by them, 12 bytes each
+    met = met.select("doc_id", "item", "start", "m", "size", "hs").join(broadcast_if(bench.select("item", "item_id", "bag"), n_shingles, MOST_BROADCAST), "item")
+    found = met.select("doc_id", "item_id", "start", _shared("bag", "hs").alias("shared"), "m", "size").withColumn("of", F.col("m") + F.col("size") - F.col("shared"))
     found = found.where(F.col("shared") * bottom >= F.col("of") * top).withColumn("similarity", F.col("shared") / F.col("of"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "shared", "of")).alias("x"))
     long = lambda c: c.cast("bigint")
