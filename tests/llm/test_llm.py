@@ -623,6 +623,18 @@ def test_url_rules(spark, tables):
             assert got[i].verdict == ("block" if got[i].labelled >= urlfilter.MIN_LABELLED and got[i].purity < urlfilter.PURITY else "allow")
 
 
+def test_url_tree_decides_where_no_rule_fits(spark, tables):
+    """Labelled branches are all blocked: an unruled sibling of the same shape is rejected with them, one of another shape or on a clean host is not."""
+    urls = [f"http://bad.net/{x}/{i}" for x in ("es", "fr") for i in range(30)]
+    urls += [f"http://bad.net/pt/{i}" for i in range(30)] + ["http://bad.net/about"] * 30 + ["http://bad.net/it/1"]
+    urls += [f"http://clean.net/{x}/{i}" for x in ("pt", "it") for i in range(30)]
+    urls += [f"http://www.good.com/{x}/{i}" for x in ("es", "fr") for i in range(90)]
+    rows = urlfilter.op10_url_filters(spark, tables(pages=([(i, u, "", "h") for i, u in enumerate(urls)], PAGES))).collect()
+    got = {urls[r.page_id]: r for r in rows}
+    assert all(r.verdict == "block" and r.rule is None and r.template.startswith("/+") for u, r in got.items() if "/pt/" in u and "bad" in u)
+    assert {r.verdict for u, r in got.items() if "clean.net" in u or "good.com" in u or "about" in u or u.endswith("it/1")} == {"allow"}
+
+
 # the pipeline
 
 

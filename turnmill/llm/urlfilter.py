@@ -6,7 +6,9 @@ fits its host and all subdomains if the path starts with the rule's; the longest
 Where no rule fits, the tree decides. Per host, level by level: a segment that is a number, a date or a long hex id becomes a wildcard of its kind;
 a branch with at least VARIABLE distinct children of on average under SPARSE urls each is a variable and becomes "*"; of
 the remaining children those that carry labels are merged into one "+" branch if their share of blocked pages does not
-differ from their siblings' by a two-proportion test. Segments below DEPTH levels form one tail that is part of the template as "**".
+differ from their siblings' by a two-proportion test. A child of MIN_LABELLED or more pages without labels joins that branch if all its labelled
+siblings do and the share of its pages that end here does not differ from theirs, by the same test: so evidence reaches
+pages that no rule fits. Segments below DEPTH levels form one tail that is part of the template as "**".
 Labels are the pages that a rule settles. A template's purity is its share of allowed labelled pages, smoothed by PRIOR pages
 at the overall share; a template is rejected if at least MIN_LABELLED of its pages are labelled and its purity is under
 PURITY. Templates without such evidence are allowed.
@@ -54,23 +56,34 @@ def segments(path: Column) -> Column:
     return F.concat(F.transform(F.slice(parts, 1, DEPTH), kind), tail)
 
 
+def _alike(a: Column, n: Column, b: Column, m: Column) -> Column:
+    """Two-proportion test: a of n does not differ from b of m; null if either is empty."""
+    share = F.try_divide(a + b, n + m)
+    spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m)))
+    return F.abs(F.try_divide(a, n) - F.try_divide(b, m)) <= Z * spread
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """(host, lex, template) of distinct urls (host, lex, n, labelled, bad), lex an array of segments, one tree level at a time."""
     tree = materialize(urls.select("host", "lex", "n", "labelled", "bad", F.lit("").alias("node")), "tree-0")
     depth = tree.agg(F.max(F.size("lex"))).first()[0] or 0
     for level in range(depth):
         here = tree.withColumn("seg", F.get("lex", F.lit(level)))
-        child = here.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+        ends = F.sum(F.when(F.size("lex") == level + 1, F.col("n")).otherwise(0)).alias("ends")
+        child = here.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")], ends)
         child = materialize(child, "children")
-        parent = child.groupBy("host", "node").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        known = lambda c: F.coalesce(F.sum(F.when(F.col("labelled") > 0, F.col(c))), F.lit(0))
+        parent = child.groupBy("host", "node").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), known("n").alias("known_n"), known("ends").alias("known_ends"))
         child = child.join(materialize(parent, "parents"), ["host", "node"])
         variable = (F.col("children") >= VARIABLE) & (F.col("all_n") < F.col("children") * SPARSE)
         rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        share = F.try_divide("all_bad", "all_labelled")
-        spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), "labelled") + F.try_divide(F.lit(1.0), rest_n)))
-        gap = F.abs(F.try_divide("bad", "labelled") - F.try_divide(rest_bad, rest_n))
-        alike = (F.col("labelled") > 0) & (rest_n > 0) & (gap <= Z * spread)
-        to = child.select("host", "node", "seg", F.when(variable, "*").when(F.coalesce(alike, F.lit(False)), "+").otherwise(F.col("seg")).alias("to"))
+        agree = (rest_n == 0) | _alike(F.col("bad"), F.col("labelled"), rest_bad, rest_n)
+        child = materialize(child.select("*", variable.alias("variable"), F.when(F.col("labelled") > 0, agree).alias("agree")), "compared")
+        whole = materialize(child.groupBy("host", "node").agg(F.coalesce(F.every("agree"), F.lit(False)).alias("all_agree")), "agreeing")
+        child = child.join(whole, ["host", "node"])
+        same_shape = F.col("all_agree") & (F.col("n") >= MIN_LABELLED) & _alike(F.col("ends"), F.col("n"), F.col("known_ends"), F.col("known_n"))
+        alike = F.coalesce(F.when(F.col("labelled") > 0, F.col("agree")).otherwise(same_shape), F.lit(False))
+        to = child.select("host", "node", "seg", F.when(F.col("variable"), "*").when(alike, "+").otherwise(F.col("seg")).alias("to"))
         to = materialize(to, "merged")
         tree = materialize(here.join(to, ["host", "node", "seg"], "left").select("host", "lex", "n", "labelled", "bad", F.when(F.col("to").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "to")).alias("node")), f"tree-{level + 1}")
     return tree.withColumnRenamed("node", "template")
