@@ -5,8 +5,8 @@ paths and block texts under their path. Over the pages of a host, tokens with th
 which page) form an equivalence class; vectors are compared by an order-free 64-bit sum of their entries, so they are
 counted in partial aggregates and never gathered. Copies of a page count once (the page's longest block stands for it).
 A class is valid if it spans at least two tokens, at least one of them an element, in SUPPORT of a host's distinct
-pages and at least LEAST of them, with the same count in each; classes that occur once per page form the template's root, those
-with a higher count nest in its slots as lists. Block texts of a root class are template text, the rest fill slots.
+pages and at least LEAST of them, with the same count in each; classes that occur once per page form the template's root.
+Classes with a higher count are found but not nested. Block texts of a root class are template text, the rest fill slots.
 
 From the slots the article is taken: regions that are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments by element, role or class are left out; if the page has an article (else a main, else a
@@ -191,7 +191,7 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
-    """(host, vector, root, tokens, texts): the valid equivalence classes of every host; root classes occur once per page, others nest in them."""
+    """(host, vector, root, tokens, texts): the valid equivalence classes of every host; root classes occur once per page."""
     seen = materialize(tokens(pages).groupBy("host", "content", "token", "is_text").agg(F.max("n").alias("n")), "html-tokens")
     size = seen.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= least)
     vector = seen.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), F.min("n").alias("low"), F.max("n").alias("high"), F.bit_xor(F.xxhash64("content", "n")).alias("vector"))
