@@ -9,7 +9,7 @@ from tests.conftest import TINY, against_sql
 from turnmill.functions import lexicons as L
 from turnmill.functions import stats
 from turnmill.functions import text as T
-from turnmill.operators import gate, judge, metrics, rules, split, training
+from turnmill.operators import frames, gate, judge, metrics, rules, split, training
 from turnmill.plans import base, registry
 from turnmill.sources import parse, scans, sinks
 
@@ -145,3 +145,27 @@ def test_predicted_output_is_the_reply(spark):
     found = base.pairs(spark, TINY).collect()
     assert any(len(r.predicted_output.split()) > 24 for r in found)
     assert all(r.predicted_output == (replies.get((r.generation_idx, r.example_idx)) or "") for r in found)
+
+
+def test_judge_store_keeps_other_responses(spark, tmp_path):
+    path = str(tmp_path / "store")
+    make = lambda *rows: spark.createDataFrame(rows, "dataset_type string, conv_idx int, raw_json string")
+    sinks.write_judge_store(make(("success", 1, "a"), ("success", 2, "b"), ("type_a", 1, "c")), path)
+    sinks.write_judge_store(make(("success", 2, "B"), ("success", 3, "d")), path)
+    found = spark.read.parquet(path).select("dataset_type", "conv_idx", "raw_json").collect()
+    assert sorted(map(tuple, found)) == [("success", 1, "a"), ("success", 2, "B"), ("success", 3, "d"), ("type_a", 1, "c")]
+
+
+def test_frames(spark):
+    rows = spark.createDataFrame([("base_4b", False), ("base_4b", False)], "model_variant string, is_lora boolean")
+    assert frames.adapted_or_all(rows).count() == 2
+    assert frames.adapted_or_all(rows.unionByName(spark.createDataFrame([("lora_4b", True)], rows.schema))).count() == 1
+    shown = {(r.g, r.i, r.more) for r in frames.examples(spark.createDataFrame([("a", i) for i in range(5)] + [("b", 0)], "g string, i int"), "g", "i", most=2).collect()}
+    assert shown == {("a", 0, 3), ("a", 1, 3), ("b", 0, 0)}
+    cells = spark.createDataFrame([("v", "d", "x", 0.5), ("v", "d", "y", 0.5), ("v", "e", "x", 0.1), ("v", "e", "y", None), ("w", "e", "y", 0.4)], "model_variant string, slice_dim string, slice_val string, value double")
+    assert [tuple(r) for r in frames.extremes(cells).collect()] == [("e", "y", 0.4, "x", 0.1)]
+    numbers = spark.createDataFrame([(t,) for t in ("", "None", "nan", "x", None, " 1.5")], "t string").select(frames.number(F.col("t"))).collect()
+    assert [r[0] for r in numbers] == [None, None, None, None, None, 1.5]
+    made = spark.range(1).select(frames.intent_summary(F.lit("uncertain"), F.lit("full"), F.lit("hold"), F.lit("tried_merchant"), F.lit("$5.00"), F.lit("Uber"), F.lit("May 2"))).first()[0]
+    assert made == "You are a user chatting with an assistant language model to investigate a suspicious charge of $5.00 at Uber on May 2 and get your card frozen immediately to prevent further charges. You already contacted Uber directly but they refused to help."
+    assert [r[0] for r in spark.createDataFrame([(4.0,), (3.99,), (2.0,), (1.9,)], "x double").select(frames.action_band(F.col("x"))).collect()] == ["publish", "spot-check", "review", "regenerate"]

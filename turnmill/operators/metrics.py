@@ -87,8 +87,10 @@ def rule_reward(completion: Column, n_tokens: Column, eos: str = "<eos>", least:
     return ended + length + F.when(ratio >= 0.8, 0.2).when(ratio >= 0.5, 0.1).otherwise(0.0)
 
 
-def judge_reward(dims: list[str], most: float = 14.0) -> Column:
-    return sum((F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dims), F.lit(0.0)) / most
+def judge_reward(dims: list[str], most: float = 14.0, failed: str | None = None) -> Column:
+    """Sum of the dimensions over `most`; 0 where the call failed, as told by the column `failed`."""
+    total = sum((F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dims), F.lit(0.0)) / most
+    return F.when(F.col(failed), 0.0).otherwise(total) if failed else total
 
 
 def composite_reward(judge: Column, rule: Column, weights: tuple[float, float] = (0.7, 0.3)) -> Column:

@@ -33,12 +33,16 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
-def training_jsonl(spark: SparkSession, *paths: str, keep_raw: bool = False) -> DataFrame:
-    """(file, line_no, input, output, _meta, has_meta, has_probing_type, generation_idx); blank and unreadable lines are left out, bad ones told by `rejected`."""
-    rows = lines(spark, *paths).where(F.trim("line") != "").withColumn("r", tolerant_json(F.col("line"), ROW)).where(F.col("r").isNotNull())
+def training_lines(rows: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """(file, line_no, input, output, _meta, has_meta, has_probing_type, generation_idx) of rows (file, line_no, line); blank and unreadable lines are left out."""
+    rows = rows.where(F.trim("line") != "").withColumn("r", tolerant_json(F.col("line"), ROW)).where(F.col("r").isNotNull())
     meta = F.coalesce(F.get_json_object("line", "$._meta"), F.get_json_object(mended_json(F.col("line")), "$._meta"))
-    out = rows.select("file", "line_no", "r.input", "r.output", "r._meta", meta.isNotNull().alias("has_meta"), F.coalesce(F.array_contains(F.json_object_keys(meta), "probing_type"), F.lit(False)).alias("has_probing_type"), F.col("r._meta.generation_idx").alias("generation_idx"), *(["line"] if keep_raw else []))
-    return out
+    return rows.select("file", "line_no", "r.input", "r.output", "r._meta", meta.isNotNull().alias("has_meta"), F.coalesce(F.array_contains(F.json_object_keys(meta), "probing_type"), F.lit(False)).alias("has_probing_type"), F.col("r._meta.generation_idx").alias("generation_idx"), *(["line"] if keep_raw else []))
+
+
+def training_jsonl(spark: SparkSession, *paths: str, keep_raw: bool = False) -> DataFrame:
+    """training_lines of files; bad lines are told by `rejected`."""
+    return training_lines(lines(spark, *paths), keep_raw)
 
 
 def rejected(spark: SparkSession, *paths: str) -> DataFrame:
@@ -99,12 +103,21 @@ def typed(df: DataFrame, doubles: tuple[str, ...] = (), ints: tuple[str, ...] =
 def judge_cache(spark: SparkSession, folder: str) -> DataFrame:
     """(dataset_type, conv_idx, raw_json) from one file per conversation; names without a type mean success."""
     raw = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("raw_json"))
+    return cache_entries(raw)
+
+
+def cache_entries(raw: DataFrame) -> DataFrame:
+    """(dataset_type, conv_idx, raw_json) of rows (name, raw_json); other names are left out."""
     kind = F.regexp_extract("name", r"^conv_(?:(\w+)_)?\d+\.json$", 1)
-    return raw.select(F.when(kind == "", "success").otherwise(kind).alias("dataset_type"), F.regexp_extract("name", r"(\d+)\.json$", 1).try_cast("int").alias("conv_idx"), "raw_json").where("conv_idx IS NOT NULL")
+    return raw.select(F.when(kind == "", "success").otherwise(kind).alias("dataset_type"), F.regexp_extract("name", r"^conv_(?:\w+_)?(\d+)\.json$", 1).try_cast("int").alias("conv_idx"), "raw_json").where("conv_idx IS NOT NULL")
+
+
+def rl_rows(rows: DataFrame) -> DataFrame:
+    return rows.where("input IS NOT NULL").select(F.col("input").alias("prompt"), F.coalesce("output", F.lit("")).alias("reference"), F.coalesce("generation_idx", F.lit(-1)).cast("bigint").alias("generation_idx"))
 
 
 def rl_dataset(spark: SparkSession, *paths: str) -> DataFrame:
-    return training_jsonl(spark, *paths).where("input IS NOT NULL").select(F.col("input").alias("prompt"), F.coalesce("output", F.lit("")).alias("reference"), F.coalesce("generation_idx", F.lit(-1)).cast("bigint").alias("generation_idx"))
+    return rl_rows(training_jsonl(spark, *paths))
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

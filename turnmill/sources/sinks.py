@@ -41,8 +41,15 @@ def write_csv(df: DataFrame, path: str, joined: dict[str, str] | None = None) ->
     df.withColumns(arrays).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def write_judge_store(rows: DataFrame, path: str) -> None:
-    """Judge responses, errors included, by type; later rows replace their partition."""
+def write_judge_store(rows: DataFrame, path: str, keys: tuple[str, ...] = ("dataset_type", "conv_idx")) -> None:
+    """Judge responses, errors included, by type. A later response replaces the earlier one of its conversation; all others stay."""
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        earlier = spark.read.parquet(path).select(*rows.columns)
+        types = rows.select("dataset_type").distinct()
+        kept = earlier.join(types, "dataset_type", "left_semi").join(rows.select(*keys), list(keys), "left_anti")
+        rows = kept.select(*rows.columns).unionByName(rows)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_type").parquet(path)
 
 
