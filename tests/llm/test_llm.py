@@ -552,6 +552,53 @@ def test_html_extraction(spark, tables):
     assert got[51][0] == "a b tail"
 
 
+
+def test_html_list_classes_nest(spark, tables):
+    """Block texts that stand in every repetition of a list are template text, however often a page repeats it."""
+    item = lambda i, k: f"<div class='item'><p>Text {i} of item {k}</p><p class='more'>Read on here</p></div>"
+    rows = [(i, f"http://h.com/{i}", f"<html><body><article><h1>Head {i}</h1>{''.join(item(i, k) for k in range(1 + i % 4))}</article></body></html>", "x") for i in range(12)]
+    where = tables(pages=(rows, PAGES))
+    got = {r.page_id: r.text for r in htmltext.op8_html_extraction(spark, where).collect()}
+    assert got == {i: " ".join([f"Head {i}", *(f"Text {i} of item {k}" for k in range(1 + i % 4))]) for i in range(12)}
+    found = htmltext.templates(spark.read.parquet(f"{where}/pages.parquet")).collect()
+    (listed,) = [r for r in found if not r.root]
+    assert listed.tokens == 4 and len(listed.texts) == 1 and listed.parent in {r.vector for r in found if r.root}
+
+
+def test_html_classes_by_brute_force(spark, tables):
+    rng = random.Random(8)
+    rows = []
+    for host in ("a.com", "b.com", "few.com"):
+        for i in range(4 if host == "few.com" else 15):
+            body = "".join(rng.choice(("<ul class='a/b'>{}</ul>", "<div>{}</div>")).format("".join(f"<li><b>go</b></li><li>x{rng.randint(0, 3)}</li>" for _ in range(rng.randint(0, 3)))) for _ in range(rng.randint(1, 3)))
+            rows.append((len(rows), f"http://{host}/{i}", f"<html><body><h2>Same</h2><p>Own {host} {i // 2}</p>{body}<ol>{'<li><p>Go on</p></li>' * rng.randint(1, 3)}</ol><div class='foot'><p>End</p></div></body></html>", "x"))
+    pages = spark.read.parquet(f"{tables(pages=(rows, PAGES))}/pages.parquet")
+    want = set()
+    for host in ("a.com", "b.com", "few.com"):
+        counts, owners = {}, {}
+        for _, url, html, _ in rows:
+            if host in url:
+                blocks = htmltext.blocks(html)
+                page = max((b[3] for b in blocks if b[3]), key=len)
+                owners |= {(p, t): o for (p, t), o in htmltext._owners(blocks).items()}
+                for key, n in Counter((b[0], b[3]) for b in blocks).items():
+                    at = counts.setdefault(key, {})
+                    at[page] = max(at.get(page, 0), n)
+        n_pages = len({p for at in counts.values() for p in at})
+        if n_pages < htmltext.LEAST:
+            continue
+        often = {k: frozenset(at.items()) for k, at in counts.items() if len(at) >= htmltext.LEAST and len(at) >= htmltext.SUPPORT * n_pages}
+        element = {htmltext._token(*k): v for k, v in often.items() if not k[1]}
+        for v in set(often.values()):
+            group = [k for k, w in often.items() if w == v]
+            root = all(n == 1 for _, n in v)
+            parents = {element.get(owners[k]) for k in group if not k[1] and element.get(owners[k]) != v}
+            if len(group) > 1 and any(not t for _, t in group) and (root or len(parents) == 1):
+                want.add((host, root, len(group), tuple(sorted(htmltext._token(*k) for k in group if k[1] and (root or element.get(owners[k]) == v)))))
+    got = {(r.host, r.root, r.tokens, tuple(sorted(r.texts))) for r in htmltext.templates(pages).collect()}
+    assert got == want and any(not r for _, r, *_ in got)
+
+
 # 9
 
 

@@ -5,8 +5,10 @@ paths and block texts under their path. Over the pages of a host, tokens with th
 which page) form an equivalence class; vectors are compared by an order-free 64-bit sum of their entries, so they are
 counted in partial aggregates and never gathered. Copies of a page count once (the page's longest block stands for it).
 A class is valid if it spans at least two tokens, at least one of them an element, in SUPPORT of a host's distinct
-pages and at least LEAST of them, with the same count in each; classes that occur once per page form the template's root.
-Classes with a higher count are found but not nested. Block texts of a root class are template text, the rest fill slots.
+pages and at least LEAST of them. Classes that occur once in each of their pages form the template's root. Any other class is a
+list, repeated as often as a page likes: it nests in the class that owns the element around its outermost elements, and is
+valid if that is one class. Template text is every block text of a root class, and of a list class every block text that stands under
+an element of the same class, so once in each repetition. The rest fills slots.
 
 From the slots the article is taken: regions that are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments by element, role or class are left out; if the page has an article (else a main, else a
@@ -68,7 +70,7 @@ def _role(name: str, attrs: str, inside: int) -> tuple[bool, int, str]:
                     out = True
                 if words & CONTENT_WORDS and name in ("div", "section", "td"):
                     rank = max(rank, 1)
-                label += "." + value
+                label += "." + value.replace("/", "|")
             elif key == "itemprop" and value == "articleBody":
                 rank = max(rank, 2)
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -160,6 +162,19 @@ def _token(path: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "replace")) - (1 << 63)
 
 
+def _owners(found: list[tuple[str, bool, int, str]]) -> dict[tuple[str, str], int]:
+    """(path, text) -> token of the nearest block element around it; "" stands above all."""
+    elements = {path for path, _, _, text in found if not text} | {""}
+    owners = {}
+    for path, _, _, text in found:
+        if (path, text) not in owners:
+            above = path if text else path.rpartition("/")[0]
+            while above not in elements:
+                above = above.rpartition("/")[0]
+            owners[path, text] = _token(above, "")
+    return owners
+
+
 def article(found: list[tuple[str, bool, int, str]], template: frozenset | set) -> str:
     kept = [(rank, text) for path, out, rank, text in found if text and not out and not (template and _token(path, text) in template)]
     best = max((rank for rank, _ in kept), default=0)
@@ -172,37 +187,48 @@ def _host(url):
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, content, token, is_text, n): how often each token stands in a page, copies of a page told by `content`."""
+    """(host, content, token, owner, is_text, n): how often each token stands in a page, copies of a page told by `content`."""
+    names = ["host", "content", "token", "owner", "is_text", "n"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part, cols = batch.slice(i, 256), ([], [], [], [], [])
+                part, cols = batch.slice(i, 256), [[] for _ in names]
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = blocks(page or "")
+                    owners = _owners(found)
                     texts = [b[3] for b in found if b[3]]
                     content = xxhash.xxh64_intdigest(max(texts, key=len, default="").encode("utf-8", "replace")) - (1 << 63)
-                    for (token, is_text), n in Counter((_token(b[0], b[3]), b[3] != "") for b in found).items():
-                        for c, v in zip(cols, (host, content, token, is_text, n)):
+                    for (path, text), n in Counter((b[0], b[3]) for b in found).items():
+                        for c, v in zip(cols, (host, content, _token(path, text), owners[path, text], text != "", n)):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["host", "content", "token", "is_text", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(read, "host string, content bigint, token bigint, is_text boolean, n bigint")
+    return pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(read, "host string, content bigint, token bigint, owner bigint, is_text boolean, n bigint")
 
 
 def templates(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
-    """(host, vector, root, tokens, texts): the valid equivalence classes of every host; root classes occur once per page."""
-    seen = materialize(tokens(pages).groupBy("host", "content", "token", "is_text").agg(F.max("n").alias("n")), "html-tokens")
+    """(host, vector, root, parent, tokens, texts): the valid equivalence classes of every host. `parent` is the vector of the class that a list class nests in."""
+    seen = materialize(tokens(pages).groupBy("host", "content", "token", "owner", "is_text").agg(F.max("n").alias("n")), "html-tokens")
     size = seen.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= least)
-    vector = seen.groupBy("host", "token", "is_text").agg(F.count("*").alias("pages"), F.min("n").alias("low"), F.max("n").alias("high"), F.bit_xor(F.xxhash64("content", "n")).alias("vector"))
-    often = vector.where((F.col("pages") >= least) & (F.col("low") == F.col("high"))).join(materialize(size, "html-hosts"), "host").where(F.col("pages") >= support * F.col("contents"))
-    classes = often.groupBy("host", "vector").agg((F.max("high") == 1).alias("root"), F.count("*").alias("tokens"), F.bool_or(~F.col("is_text")).alias("framed"), F.collect_list(F.when(F.col("is_text"), F.col("token"))).alias("texts"))
-    return classes.where("tokens > 1 AND framed").drop("framed")
+    vector = seen.groupBy("host", "token", "owner", "is_text").agg(F.count("*").alias("pages"), F.max("n").alias("high"), F.bit_xor(F.xxhash64("content", "n")).alias("vector"))
+    often = vector.where(F.col("pages") >= least).join(materialize(size, "html-hosts"), "host").where(F.col("pages") >= support * F.col("contents"))
+    often = materialize(often.select("host", "token", "owner", "is_text", "high", "vector"), "html-often")
+    around = often.where(~F.col("is_text")).select("host", F.col("token").alias("owner"), F.col("vector").alias("around"))
+    inside, once = F.col("around").eqNullSafe(F.col("vector")), F.col("high") == 1
+    outer = F.when(~F.col("is_text") & ~inside, F.coalesce("around", F.lit(0)))
+    classes = often.join(around, ["host", "owner"], "left").groupBy("host", "vector").agg(
+        (F.max("high") == 1).alias("root"), F.count("*").alias("tokens"), F.bool_or(~F.col("is_text")).alias("framed"), F.min(outer).alias("parent"), F.max(outer).alias("__other"),
+        F.collect_list(F.when(F.col("is_text") & (once | inside), F.col("token"))).alias("texts"),
+    )
+    valid = classes.where(F.col("framed") & (F.col("tokens") > 1) & (F.col("root") | (F.col("parent") == F.col("__other"))))
+    return valid.select("host", "vector", "root", F.when(~F.col("root"), F.col("parent")).alias("parent"), "tokens", "texts")
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, least: int = LEAST) -> DataFrame:
     """(page_id, url, text) of every page."""
-    texts = materialize(templates(pages, support, least).where("root").groupBy(F.col("host").alias("__host")).agg(F.flatten(F.collect_list("texts")).alias("__template")), "templates")
+    texts = materialize(templates(pages, support, least).groupBy(F.col("host").alias("__host")).agg(F.flatten(F.collect_list("texts")).alias("__template")), "templates")
     keyed = pages.select("page_id", "url", "html", _host(F.col("url")).alias("__h"))
     joined = keyed.join(broadcast_if(texts, texts.count(), 20_000), keyed["__h"] == texts["__host"], "left")
 
