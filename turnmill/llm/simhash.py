@@ -211,16 +211,32 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([similarity(x or b"", y or b"") >= SIMILARITY for x, y in both], pa.bool_())
 
 
+def _asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of docs whose text hash is probably that of an asked row (th), by a broadcast bitmap of at most 8 MB at any size; true rows all stay.
+
+    It keeps the texts of documents without candidates out of the shuffle of the join that follows.
+    """
+    slot, bit = (lambda h: F.pmod(h, F.lit(2048)).alias("__slot")), (lambda h: F.pmod(F.shiftright(h, 11), F.lit(32768)))
+    maps = asked.select(slot(F.col("th")), bit(F.col("th")).alias("p")).groupBy("__slot").agg(F.bitmap_construct_agg("p").alias("__map"))
+    at = bit(F.col("text_hash"))
+    byte = F.conv(F.hex(F.substring(F.col("__map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (slot(F.col("text_hash")) == F.col("__slot")) & (F.call_function("bit_get", byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+    return docs.join(F.broadcast(maps), hit, "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets whose texts are similar; a set (set, id, th) has the text of the row with that id and text hash. Only texts in pairs are shuffled twice."""
     pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     asked = materialize(sets.select("set", "id", "th").join(asked, "set", "left_semi"), "candidate-sets")
     from_ = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = asked.join(from_, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash"))).select("set", "text").dropDuplicates(["set"])
+    texts = asked.join(_asked_texts(from_, asked), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash"))).select("set", "text").dropDuplicates(["set"])
     texts = materialize(texts, "candidate-texts")
     a, b = texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), texts.select(F.col("set").alias("b"), F.col("text").alias("tb"))
-    return materialize(pairs.join(a, "a").join(b, "b").where(F.arrow_udf(_similar, "boolean")("ta", "tb")).select("a", "b"), "similar")
+    found = materialize(pairs.join(a, "a").join(b, "b").where(F.arrow_udf(_similar, "boolean")("ta", "tb")).select("a", "b"), "similar")
+    for done in (pairs, asked, texts):
+        discard(done)
+    return found
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
