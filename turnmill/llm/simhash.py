@@ -26,6 +26,8 @@ from turnmill.llm.common import broadcast_if, discard, materialize, table
 SHINGLE, RADIUS, SEED, HOT = 3, 3, 42, 2048
 #: The pipeline stage: words of a shingle, least similarity, MinHash keys and minima of each, sets of a key that are all compared.
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS, CROWD = 5, 0.8, 24, 5, 2
+#: Sizes of sets within this factor share a bucket of the prefix join.
+_GROWTH = 1.05
 _STEP = 1 << 16
 _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, 2 * BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -202,8 +204,12 @@ def _sketch(text: pa.Array) -> pa.Array:
     out = []
     for x in text.cast(pa.binary()).to_pylist():
         s = shingle_set(x or b"")
-        out.append({"set": xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), "bands": bands(s)})
-    return pa.array(out, pa.struct([("set", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+        out.append({"set": xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), "size": len(s), "bands": bands(s)})
+    return pa.array(out, pa.struct([("set", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+
+
+def _shingles(text: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(x or b"").view(np.int64) for x in text.cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
 
 
 def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -224,17 +230,67 @@ def _asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(maps), hit, "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose texts are similar; a set (set, id, th) has the text of the row with that id and text hash. Only texts in pairs are shuffled twice."""
-    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+def _texts_of(asked: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(set, text) of the asked sets; a set (set, id, th) has the text of the row with that id and text hash. Only their texts are shuffled."""
     asked = materialize(sets.select("set", "id", "th").join(asked, "set", "left_semi"), "candidate-sets")
     from_ = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     texts = asked.join(_asked_texts(from_, asked), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("th") == F.col("text_hash"))).select("set", "text").dropDuplicates(["set"])
     texts = materialize(texts, "candidate-texts")
+    discard(asked)
+    return texts
+
+
+def _verified(pairs: DataFrame, texts_of) -> DataFrame:
+    """The pairs (a, b) of sets whose texts are similar; texts_of gives (set, text) of asked sets."""
+    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    texts = texts_of(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
     a, b = texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), texts.select(F.col("set").alias("b"), F.col("text").alias("tb"))
     found = materialize(pairs.join(a, "a").join(b, "b").where(F.arrow_udf(_similar, "boolean")("ta", "tb")).select("a", "b"), "similar")
-    for done in (pairs, asked, texts):
+    for done in (pairs, texts):
+        discard(done)
+    return found
+
+
+def _near_size(a: Column, b: Column) -> Column:
+    """Whether sets of so many shingles can be similar at all."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(SIMILARITY) - F.lit(1e-6)
+
+
+def _bucket(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / F.lit(float(np.log(_GROWTH))) + F.lit(1e-9)).cast("int")
+
+
+def prefix_pairs(rooted: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components, among them every similar one: (set, root) of each set, (set, text) of each.
+
+    The shingles of all sets have one order, rare ones first. Sets of n <= m shingles that are similar have at least
+    o = SIMILARITY / (1 + SIMILARITY) x (n + m) in common, so the first one they share stands among the first n - o + 1 and m - o + 1. Such heads
+    are joined by shingle and size, each head entry with only the sizes that its place allows. Edits make rare shingles, which fill
+    the heads of a copy that is edited much, so such copies of one text do not meet. Heads of one component do not meet either.
+    """
+    part = SIMILARITY / (1 + SIMILARITY)
+    shingled = materialize(texts.select("set", F.explode(F.arrow_udf(_shingles, "array<bigint>")(F.col("text"))).alias("h")), "shingles")
+    often = shingled.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = shingled.join(often, "h", "left").groupBy("set").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("l"))
+    n, at = F.size("l"), F.col("i")
+    head = (n - F.ceil(n * F.lit(SIMILARITY) - F.lit(1e-6)) + 1).cast("int")
+    ranked = ranked.join(rooted, "set").select("set", "root", n.alias("n"), F.posexplode(F.slice("l", 1, head)).alias("i", "x"))
+    heads = materialize(ranked.where("x.df > 1").select(F.col("x.h").alias("h"), "set", "root", "n", "i"), "heads")
+    discard(shingled)
+    most = F.least(F.col("n").cast("double"), (F.col("n") - at) / F.lit(part) - F.col("n") + F.lit(1e-6))
+    least = F.ceil(F.col("n") * F.lit(SIMILARITY) - F.lit(1e-6))
+    small = heads.where(at <= F.col("n") - F.col("n") * F.lit(2 * part) + F.lit(1e-6)).select("h", _bucket(F.col("n")).alias("b"), F.col("set").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), at.alias("ia"))
+    large = heads.where(most >= least).select("h", F.explode(F.sequence(_bucket(least), _bucket(most))).alias("b"), F.col("set").alias("b_"), F.col("root").alias("rb"), F.col("n").alias("nb"), at.alias("ib"))
+    both = small.select("h", "b", F.col("ra").alias("root")).union(large.select("h", "b", F.col("rb").alias("root"))).groupBy("h", "b", "root").count()
+    mixed = both.groupBy("h", "b").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("h", "b", F.col("m.root").alias("main"))
+    mixed = materialize(mixed, "mixed-keys")
+    small, large = small.join(mixed, ["h", "b"]), large.join(mixed, ["h", "b"]).drop("main")
+    need = (F.col("na") + F.col("nb")) * F.lit(part) - F.lit(1e-6)
+    fits = (F.col("ra") != F.col("rb")) & (F.col("na") <= F.col("nb")) & (F.col("na") - F.col("ia") >= need) & (F.col("nb") - F.col("ib") >= need)
+    pairs = lambda x, y: x.join(y, ["h", "b"]).where(fits).select("a", F.col("b_").alias("b"))
+    main_small, main_large = small.where("ra = main"), large.join(mixed, ["h", "b"]).where("rb <> main").drop("main")
+    found = materialize(pairs(small.where("ra <> main"), large).union(pairs(main_small, main_large)), "prefix-pairs")
+    for done in (heads, mixed):
         discard(done)
     return found
 
@@ -243,26 +299,37 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, set, component) for every row of docs (doc_id, text): texts of similarity SIMILARITY or more are linked.
 
     Rows of one shingle set meet first. Two sets of similarity 0.8 share one of the BANDS keys with probability 0.9999, more
-    above. A key of up to CROWD sets gives all its pairs. The sets of a larger key are first compared with its smallest set
-    only; then those outside its largest component with all sets in other components, so no pair that could join two
-    components goes untested. Every link is verified on the whole texts.
+    above. A key of up to CROWD sets gives all its pairs. The sets of a larger key are first compared with its most central set,
+    the one whose keys hold most sets. The sets of those keys that still are in several components go through an exact
+    prefix join, which gives the pairs of different components that can be similar. Every link is verified on the whole texts.
     """
-    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.arrow_udf(_sketch, "struct<set:bigint,bands:array<bigint>>")(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.set", "s.bands"), "sketches")
-    sets = rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("bands").alias("bands"))
-    sets = materialize(sets.select("set", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("th"), "bands"), "sets")
-    keyed = sets.select("set", F.explode("bands").alias("key"))
-    met = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("least")).where("n > 1"), "band-keys")
-    few = keyed.join(met.where(F.col("n") <= CROWD).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("set")).alias("m"))
+    kind = "struct<set:bigint,size:bigint,bands:array<bigint>>"
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.arrow_udf(_sketch, kind)(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.set", "s.size", "s.bands"), "sketches")
+    sets = rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sets = materialize(sets.select("set", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("th"), "size", "bands"), "sets")
+    keyed = sets.select("set", "size", F.explode("bands").alias("key"))
+    met = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-keys")
+    few = keyed.join(met.where(F.col("n") <= CROWD).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("set", "size"))).alias("m"))
     few = few.select("m").distinct().select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    crowd = materialize(keyed.join(met.where(F.col("n") > CROWD).select("key", "least"), "key"), "crowded")
-    found = _verified(few.union(crowd.select(F.col("least").alias("a"), F.col("set").alias("b"))), sets, docs)
+    few = few.where(_near_size(F.col("a.size"), F.col("b.size"))).select(F.col("a.set").alias("a"), F.col("b.set").alias("b"))
+    crowd = materialize(keyed.join(met.where(F.col("n") > CROWD).select("key", "n"), "key"), "crowded")
+    central = crowd.groupBy("set", "size").agg(F.sum("n").alias("degree"), F.collect_list("key").alias("keys"))
+    central = central.select("set", "size", "degree", F.explode("keys").alias("key")).groupBy("key").agg(F.max(F.struct("degree", "set", "size")).alias("c"))
+    star = crowd.join(central, "key").where(_near_size(F.col("size"), F.col("c.size"))).select(F.col("c.set").alias("a"), F.col("set").alias("b"))
+    found = _verified(few.union(star), lambda asked: _texts_of(asked, sets, docs))
     roots = components(found)
-    if crowd.limit(1).count():
-        named = materialize(crowd.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root")), "crowd-roots")
-        most = named.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("m.root").alias("main"))
-        apart = named.join(most, "key").where("root <> main").select("key", F.col("set").alias("a"), F.col("root").alias("ra"))
-        found = found.union(_verified(apart.join(named, "key").where("root <> ra").select("a", F.col("set").alias("b")), sets, docs))
+    named = materialize(crowd.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root")), "crowd-roots")
+    open_ = named.join(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "key", "left_semi")
+    open_ = materialize(open_.select("set", "root").distinct(), "open-sets")
+    if open_.limit(1).count():
+        texts = _texts_of(open_.select("set"), sets, docs)
+        pairs = prefix_pairs(open_, texts)
+        found = found.union(_verified(pairs, lambda asked: texts.join(asked, "set", "left_semi")))
+        discard(pairs)
+        discard(texts)
         roots = components(found)
+    for done in (met, crowd, named, sets):
+        discard(done)
     return rows.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "text_hash", "set", F.coalesce("root", "set").alias("component"))
 
 
