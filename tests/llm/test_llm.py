@@ -553,6 +553,14 @@ def test_html_extraction(spark, tables):
 
 
 
+def test_html_content_class_is_a_hint():
+    teaser = "<div class='post'><p>A short teaser.</p></div>"
+    story = "<p>The story stands outside of it and is much longer.</p><p>It goes on.</p>"
+    assert htmltext.article(htmltext.blocks(f"<body>{teaser}{story}</body>"), set()) == "A short teaser. The story stands outside of it and is much longer. It goes on."
+    assert htmltext.article(htmltext.blocks(f"<body><p>Around.</p><div class='post'>{story}</div></body>"), set()) == "The story stands outside of it and is much longer. It goes on."
+    assert htmltext.article([], set()) == ""
+
+
 def test_html_list_classes_nest(spark, tables):
     """Block texts that stand in every repetition of a list are template text, however often a page repeats it."""
     item = lambda i, k: f"<div class='item'><p>Text {i} of item {k}</p><p class='more'>Read on here</p></div>"

@@ -11,8 +11,8 @@ valid if that is one class. Template text is every block text of a root class, a
 an element of the same class, so once in each repetition. The rest fills slots.
 
 From the slots the article is taken: regions that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments by element, role or class are left out; if the page has an article (else a main, else a
-content) element, only slots inside it count, else all that remain. Character references are decoded, white space
+scripts, styles or reader comments by element, role or class are left out; if the page has an article (else a main) element,
+only slots inside it count; else, if elements of a content class hold at least half of what remains, only those; else all. Character references are decoded, white space
 inside a block becomes one space, blocks are joined in page order.
 
 Null html is an empty text, null url an empty host. Cut-off pages are read as far as they go. Repeated rows are pages of
@@ -177,8 +177,9 @@ def _owners(found: list[tuple[str, bool, int, str]]) -> dict[tuple[str, str], in
 
 def article(found: list[tuple[str, bool, int, str]], template: frozenset | set) -> str:
     kept = [(rank, text) for path, out, rank, text in found if text and not out and not (template and _token(path, text) in template)]
-    best = max((rank for rank, _ in kept), default=0)
-    best = next((r for r in (3, 2, 1) if any(rank >= r for rank, _ in kept)), 0) if best else 0
+    best = next((r for r in (3, 2, 1) if any(rank >= r for rank, _ in kept)), 0)
+    if best == 1 and 2 * sum(len(text) for rank, text in kept if rank) < sum(len(text) for _, text in kept):
+        best = 0
     return " ".join(text for rank, text in kept if rank >= best)
 
 
