@@ -112,7 +112,9 @@ def _keyed_links(keyed: DataFrame, most: int | None) -> tuple[DataFrame, DataFra
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between the distinct fingerprints in column fp that connect all pairs within RADIUS bits."""
-    keyed = distinct.select("fp", F.explode(_variants(F.col("fp"), (0, 32), 32)).alias("v")).select("fp", "v.key", "v.bit")
+    # a fingerprint grows to 66 rows: the few files of a compact table are dealt to all tasks first
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = dealt.select("fp", F.explode(_variants(F.col("fp"), (0, 32), 32)).alias("v")).select("fp", "v.key", "v.bit")
     found, hot = _keyed_links(keyed, HOT)
     n_hot = hot.count()
     if n_hot:
