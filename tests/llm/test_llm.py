@@ -362,6 +362,27 @@ def test_stage_removes_near_copies_of_similarity_0_8(spark, crowd, monkeypatch):
     assert 30 < len(found) < len(rows) / 2
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 120])
+def test_prefix_join_misses_no_similar_pair(spark, size):
+    """Copies of one text without the text itself, of unequal lengths, each a component of its own: all similar pairs are candidates, far ones are not."""
+    rng = random.Random(size)
+    base = [f"w{rng.randrange(4000)}" for _ in range(size)]
+    texts = {}
+    for n in range(60):
+        copy = base[: rng.randrange(max(1, size * 4 // 5), size + 1)] + [f"t{rng.randrange(30)}" for _ in range(rng.randrange(4))]
+        for at in rng.sample(range(len(copy)), min(len(copy), rng.randrange(5))):
+            copy[at] = f"x{rng.randrange(200)}"
+        texts.setdefault(simhash.shingle_set(" ".join(copy).encode()).tobytes(), (n, " ".join(copy)))
+    rows = list(texts.values())
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and jaccard(x, y) >= 0.8}
+    found = simhash.prefix_pairs(spark.createDataFrame([(n, n) for n, _ in rows], "set bigint, root bigint"), spark.createDataFrame(rows, "set bigint, text string"))
+    pairs = {(min(r), max(r)) for r in found.collect()}
+    assert near <= pairs
+    assert all(jaccard(dict(rows)[a], dict(rows)[b]) > 0 for a, b in pairs)
+    one = simhash.prefix_pairs(spark.createDataFrame([(n, 0) for n, _ in rows], "set bigint, root bigint"), spark.createDataFrame(rows, "set bigint, text string"))
+    assert one.count() == 0  # one component has nothing left to link
+
+
 def test_stage_keeps_one_row_of_each_group(spark, nasty):
     rows = spark.read.parquet(f"{nasty}/documents.parquet").collect()
     more = [(None, "lost id " * 10), (None, "another text without an id"), (3, "the same id but another text"), (90, "another text without an id")]
