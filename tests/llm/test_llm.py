@@ -505,6 +505,70 @@ def test_lm_scores_by_brute_force(spark, monkeypatch):
         assert rows[i].score == pytest.approx(total + unknown * math.log10(1 / 1), rel=1e-9)
 
 
+@pytest.mark.parametrize("lookup", [lm.LOOKUP, 1])
+def test_lm_tells_rare_words_apart(spark, monkeypatch, lookup):
+    """Words under 1/50,000 of all tokens have restaurants of their own, in the lookup table and outside it."""
+    import zlib
+
+    monkeypatch.setattr(lm, "LOOKUP", lookup)
+    learn = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = list(zip(learn, ["the " * 500_000, *["zeta eta", "theta iota"] * 8])) + list(zip(held, ["zeta eta", "zeta iota", "theta iota", "theta eta"]))
+    found = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for seen, unseen in ((0, 1), (2, 3)):  # words of the same counts, in an order that training has and in one it lacks
+        assert found[held[seen]] > found[held[unseen]] + 1
+
+
+def test_lm_words_outside_the_lookup_table_by_brute_force(spark, monkeypatch):
+    """Most words cold: scores from the model's tables, one by one, and probabilities of all dishes after any word that sum to 1."""
+    import numpy as np
+
+    kept = {}
+
+    def spy(bigrams, width, burn=lm.BURN, samples=lm.SAMPLES, real=lm.train):
+        own, model = real(bigrams, width, burn, samples)
+        kept.update(own={r.key: (r.c, r.own) for r in own.collect()}, model=model, cold={r.id: r for r in model.cold.collect()}, width=width)
+        return own, model
+
+    for name, value in (("train", spy), ("LOOKUP", 15), ("BIGRAMS", 60)):
+        monkeypatch.setattr(lm, name, value)
+    draw = random.Random(5)
+    texts = [" ".join(f"w{int(draw.paretovariate(0.7)) % 90}" for _ in range(draw.randrange(30))) for _ in range(120)]
+    rows = {r.doc_id: r for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    learn = [i for i in range(len(texts)) if not rows[i].held_out]
+    counts = Counter(w for i in learn for w in words(texts[i]))
+    n, width, model, cold = sum(counts.values()) + len(learn), kept["width"], kept["model"], kept["cold"]
+    least = min(c for c in counts.values() if sum(x >= c for x in counts.values()) <= 15)
+    hot = sorted((w for w in counts if counts[w] >= least), key=lambda w: (-counts[w], w))
+    index = {w: i for i, w in enumerate(hot, 1)}
+    id_of = lambda w: index.get(w) or lm.cold_id(w.encode())
+    assert width == len(hot) + 3 and {i: r.n for i, r in cold.items()} == {id_of(w): c for w, c in counts.items() if w not in index}
+    assert len(cold) > 20 and any(w not in counts for t in texts for w in words(t))
+    end, start = width - 2, width - 1
+    dishes = [*range(width - 1), *cold]
+    seqs = {i: [start, *map(id_of, words(t)), end] for i, t in enumerate(texts)}
+    pairs = sorted({p for s in seqs.values() for p in zip(s, s[1:])} | {(u, w) for u in [*range(width), *cold] for w in dishes})
+    keys = {(r.u, r.w): r.key for r in spark.createDataFrame(pairs, "u bigint, w bigint").select("u", "w", lm._key(F.col("u"), F.col("w"), width).alias("key")).collect()}
+    samples = range(len(model.unigram))
+
+    def probability(u, w):
+        own = kept["own"].get(keys[u, w], (0, -1.0 if seen[u, w] else 0.0))[1]
+        if own < 0:
+            assert seen[u, w] == 1
+            own = (1 - lm.DISCOUNTS[1]) / (lm.STRENGTHS[1] + (cold[u].n if u < 0 else model.total[u]))
+        b = [model.backoff[s][u] if u >= 0 else cold[u][f"b{s}"] if u in cold else 1.0 for s in samples]
+        p = [model.unigram[s][w] if w >= 0 else cold[w][f"p{s}"] if w in cold else model.unigram[s][0] for s in samples]
+        return own + float(np.mean([x * y for x, y in zip(b, p)]))
+
+    seen = Counter(p for i in learn for p in zip(seqs[i], seqs[i][1:]))
+    asked = {p for i, s in seqs.items() if i not in learn for p in zip(s, s[1:])}
+    assert {keys[p]: c for p, c in seen.items() if c > 1 or p in asked or c * 60 >= n} == {k: c for k, (c, _) in kept["own"].items()}
+    for i, s in seqs.items():
+        assert rows[i].score == pytest.approx(sum(math.log10(probability(u, w)) for u, w in zip(s, s[1:])), rel=1e-9)
+    for u in [1, start, *cold]:
+        assert sum(probability(u, w) for w in dishes) == pytest.approx(1.0, abs=1e-9)
+
+
 # 7
 
 

@@ -8,10 +8,8 @@ the generalised Stirling numbers of c customers. Predictions depend on seatings
 travels. Other dishes' tables and the parent are those of the last sweep, so rows are sampled in parallel. The parent
 reseats the tables it received. After BURN sweeps, the predictive probabilities of SAMPLES sweeps are averaged.
 
-The model's words are those with at least 1/MODEL of all tokens (at most MODEL); every other word is the class "rare" in the
-restaurants, and within the class has add-one probability by its own count, so each word is scored from counts over the whole corpus. Bounded tables
-are broadcast: words with at least 1/LOOKUP of all tokens and bigrams with at least 1/BIGRAMS; the others meet
-the documents in shuffles by 64-bit hash or key, where no key is frequent.
+Every training word is a dish and has a restaurant, however rare; a word that training lacks has no restaurant and, as a dish, one share of
+the uniform base. Bounded tables are broadcast: the LOOKUP most frequent words, sums of theirs, and bigrams of theirs with at least 1/BIGRAMS of all tokens. All other words and bigrams meet the documents and each other in shuffles by 64-bit hash or key, where no key is frequent.
 
 Null text is empty (one token, the end). A null doc_id counts as the empty string for the split. Repeated rows are documents of their own. With no training
 rows all probabilities are the uniform base. Other columns are ignored.
@@ -33,7 +31,8 @@ from pyspark.sql import functions as F
 
 from turnmill.llm.common import discard, materialize, table
 
-MODEL, LOOKUP, BIGRAMS = 50_000, 1_000_000, 2_000_000
+#: Words of the lookup table at most; share of all tokens from which a bigram is broadcast.
+LOOKUP, BIGRAMS = 300_000, 2_000_000
 DISCOUNTS, STRENGTHS, BURN, SAMPLES, SEED = (0.6, 0.8), (1.0, 2.0), 2, 3, 42
 #: Customers up to which Stirling numbers are tabulated, 8 MB a discount.
 STIRLING = 1024
@@ -136,7 +135,7 @@ def seat(key: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: np.
     return tables.astype(np.int64)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+def _texts(batches: Iterator[pa.RecordBatch], most: int = _BATCH) -> Iterator[tuple[list, list[bytes]]]:
     """(first column, texts) in batches balanced by bytes."""
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -144,13 +143,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
             ids.append(i)
             texts.append(t or b"")
             size += len(texts[-1])
-            if size >= _BATCH:
+            if size >= most:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
+def _held_out(doc_id) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) of training documents, END among the words."""
 
@@ -168,53 +171,97 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def cold_id(word: bytes) -> int:
+    """A word outside the lookup table: below 0, by its hash. The same in Spark: -(xxhash64(word) >>> 1) - 1."""
+    return -(xxhash.xxh64_intdigest(word, SEED) >> 1) - 1
+
+
 class Vocabulary:
-    """Words of the lookup table by falling count; the first `model` are words of the restaurants. 0 is rare, model + 1 the end, model + 2 the start."""
+    """Every word has an id: of the lookup table by falling count from 1 on, then the end and the start; others have a cold_id. 0 is no word."""
 
-    def __init__(self, words: list[bytes], counts: list[int], model: int, n: int, v: int, end: int, n_rare: int, v_rare: int):
+    def __init__(self, words: list[bytes], counts: list[int], n: int, v: int, end: int, least: int):
         self.index = {w: i for i, w in enumerate(words, 1)}
-        self.counts, self.model, self.n, self.v, self.end = np.array([0, *counts], np.int64), model, n, v, end
-        self.n_rare, self.v_rare, self.width = n_rare, v_rare, model + 3
+        self.counts, self.n, self.v, self.end, self.least, self.width = np.array([0, *counts], np.int64), n, v, end, least, len(words) + 3
 
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Word indexes of all texts in a row, the number of words of each, and the words."""
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids of all texts in a row and the number of words of each."""
         get = self.index.get
-        words = [t.lower().split() for t in texts]
-        lengths = np.array([len(w) for w in words], np.int64)
-        return np.array([get(w, 0) for ws in words for w in ws], np.int64), lengths, words
+        ids = [np.array([get(w) or cold_id(w) for w in t.lower().split()], np.int64) for t in texts]
+        return np.concatenate([np.zeros(0, np.int64), *ids]), np.array([len(i) for i in ids], np.int64)
 
-    def keys(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bigram keys of all documents in a row, ends included, and the document of each."""
+    def pairs(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Previous token, token and document of every place, ends included."""
         n, stops = len(lengths), np.cumsum(lengths + 1) - 1
-        seq = np.full(len(ids) + n, self.model + 1, np.int64)
+        seq = np.full(len(ids) + n, self.width - 2, np.int64)
         inner = np.ones(len(seq), bool)
         inner[stops] = False
-        seq[inner] = np.where(ids <= self.model, ids, 0)
+        seq[inner] = ids
         before = np.empty_like(seq)
         before[1:] = seq[:-1]
-        before[stops - lengths] = self.model + 2
-        return before * self.width + seq, np.repeat(np.arange(n), lengths + 1)
+        before[stops - lengths] = self.width - 1
+        return before, seq, np.repeat(np.arange(n), lengths + 1)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The lookup table has all words from a count on, the lowest that leaves at most LOOKUP of them."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") * LOOKUP >= n).orderBy(F.desc("c"), "word").collect()
-    words, end = [(bytes(r["word"]), r["c"]) for r in top if bytes(r["word"]) != END], sum(r["c"] for r in top if bytes(r["word"]) == END)
-    if not end:
-        end = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    model = sum(c * MODEL >= n for _, c in words)
-    in_model = sum(c for _, c in words[:model])
-    return Vocabulary([w for w, _ in words], [c for _, c in words], model, n, v, end, n - in_model - end, v - model - (end > 0))
+    end = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    found = counts.where(F.col("word") != F.lit(END))
+    # few rows: n tokens have at most sqrt(2 n) different counts
+    sizes = found.groupBy("c").agg(F.count("*").alias("words")).toArrow().sort_by([("c", "descending")])
+    fit = sizes["c"].to_numpy()[np.cumsum(sizes["words"].to_numpy()) <= LOOKUP]
+    least = int(fit.min(initial=n + 1))
+    top = found.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
+    return Vocabulary(top["word"].to_pylist(), top["c"].to_pylist(), n, v, end, least)
+
+
+def cold_words(counts: DataFrame, least: int) -> DataFrame:
+    """(id, n) of all words outside the lookup table."""
+    cold = counts.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
+    return cold.select((-F.shiftrightunsigned(F.xxhash64("word"), 1) - 1).alias("id"), F.col("c").alias("n"))
+
+
+def _unique(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows, by the first of three columns, and how often each stands; a row may seldom come in several parts."""
+    mixed = np.zeros(len(columns[0]), _U)
+    with np.errstate(over="ignore"):
+        for x in columns[-2:]:
+            mixed = (mixed ^ x.astype(_U)) * _U(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> _U(29)
+    if len(columns) > 2:
+        bits = _U(max(int(columns[0].max(initial=0)).bit_length(), 1))
+        mixed = (columns[0].astype(_U) << (_U(64) - bits)) | (mixed >> bits)
+    order = np.argsort(mixed)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.concatenate((first, [len(order)])))
+
+
+def _key(u, w, width: int):
+    """Of a bigram: u x width + w if both stand in the lookup table, else below 0 by their hash."""
+    return F.when((u >= 0) & (w >= 0), u * F.lit(width) + w).otherwise(-F.shiftrightunsigned(F.xxhash64(u, w), 1) - 1)
 
 
 def count_bigrams(docs: DataFrame, vocab) -> DataFrame:
+    """(key, c, u, w) of the bigrams of training documents: all seen twice or more, and of the others those that held-out documents ask for or
+    that are broadcast. The words u and w stand only where key doesn't hold them and c > 1."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches):
-            ids, lengths, _ = vocab.value.ids(texts)
-            keys, n = np.unique(vocab.value.keys(ids, lengths)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "c"])
+        v = vocab.value
+        for doc_ids, texts in _texts(batches):
+            for held in (False, True):
+                some = [t for d, t in zip(doc_ids, texts) if _held_out(d) == held]
+                (u, w), n = _unique(*v.pairs(*v.ids(some))[:2])
+                n = np.zeros(len(u), np.int64) if held else n.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(n)], names=["u", "w", "c"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    found = docs.select("doc_id", "text").mapInArrow(count, "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c"), F.min("c").alias("least"))
+    found = found.where((F.col("c") > 1) | (F.col("c") == 1) & ((F.col("least") == 0) | (F.col("c") * BIGRAMS >= vocab.value.n)))
+    named = (F.least("u", "w") < 0) & (F.col("c") > 1)
+    return found.select(_key(F.col("u"), F.col("w"), vocab.value.width).alias("key"), "c", *(F.when(named, F.col(i)).alias(i) for i in "uw"))
 
 
 def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.Table]:
@@ -231,68 +278,175 @@ def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[
 
 
 class Model:
-    """Averaged backoff: for each sample the weight that a restaurant gives to its parent, and the parent's probabilities."""
+    """Averaged backoff: for each sample the weight that a restaurant gives to its parent, and the parent's probabilities.
+
+    The arrays hold the lookup table; `cold` is a table of the other words, (id, n, b0, p0, b1, ...): occurrences, and by sample weight and probability.
+    """
 
     def __init__(self, width: int):
-        self.width, self.backoff, self.unigram = width, [], []
+        self.width, self.backoff, self.unigram, self.total, self.cold = width, [], [], np.zeros(width), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cold": None}
 
     def lower(self, keys: np.ndarray) -> np.ndarray:
         u, w = keys // self.width, keys % self.width
         return sum(b[u] * p[w] for b, p in zip(self.backoff, self.unigram)) / len(self.unigram)
 
 
-def _by(df: DataFrame, expr, value: str, width: int) -> np.ndarray:
-    """Sums by a bounded index as an array."""
+def _settle(spark: SparkSession) -> None:
+    """Let the JVM find the shuffles of finished plans, whose files Spark then deletes."""
+    spark._jvm.System.gc()
+
+
+def _by(df: DataFrame, expr, value, width: int) -> np.ndarray:
+    """Sums by the ids of the lookup table as an array."""
     out = np.zeros(width)
-    for r in df.groupBy(expr.alias("i")).agg(F.sum(value).alias("s")).collect():
-        out[r["i"]] = r["s"]
+    found = df.select(expr.alias("i"), value.alias("x")).where("i >= 0").groupBy("i").agg(F.sum("x").cast("double").alias("s")).toArrow()
+    out[found["i"].to_numpy()] = found["s"].to_numpy()
     return out
 
 
-def train(bigrams: DataFrame, width: int, burn: int = BURN, samples: int = SAMPLES) -> tuple[DataFrame, Model]:
-    """(key, c, own) with the averaged own share of each bigram, and the model of what is left to the parent."""
+def _meeting(word, other):
+    """What a row joins the cold words' table by: a cold word's id; for a word of the lookup table a number that meets nothing and is not frequent."""
+    return F.when(word < 0, word).otherwise(F.shiftrightunsigned(F.xxhash64(other), 1))
+
+
+def _parent(customers, tables, rest: float, every: float):
+    """Probability of a dish at the top."""
+    return ((customers - DISCOUNTS[0] * tables) + rest) / every
+
+
+_HOT, _MIXED = "key bigint, c bigint, t bigint, own double", "key bigint, c bigint, u bigint, w bigint, t bigint, own double"
+
+
+def train(bigrams: DataFrame | tuple[DataFrame, DataFrame, np.ndarray, np.ndarray], width: int, burn: int = BURN, samples: int = SAMPLES) -> tuple[DataFrame, Model]:
+    """(key, c, own) with the averaged own share of each bigram, and the model of what is left to the parent.
+
+    With `bigrams` may come a table (id, n) of the cold words in them and how often each word of the lookup table is a context and a dish. A bigram
+    seen once has one table in every sweep, so that only others are reseated, and words' sums come from their occurrences less what others' customers share. Bigrams of the lookup table read
+    their neighbours' sums from arrays; bigrams with a cold word meet them in joins by the cold word. own is -1 for a bigram
+    seen once that has a cold word: (1 - discount) / (strength + occurrences of its first word).
+    """
     (d0, d1), (s0, s1) = DISCOUNTS, STRENGTHS
-    spark, dishes, model = bigrams.sparkSession, width - 1, Model(width)
-    context, dish = F.floor(F.col("key") / F.lit(width)).cast("bigint"), F.pmod("key", F.lit(width))
-    state = materialize(bigrams.select("key", "c", F.lit(1).cast("bigint").alias("t"), F.lit(0.0).alias("own")), "seats-0")
-    total = _by(state, context, "c", width)
-    tables, customers = _by(state, context, "t", width), _by(state, dish, "t", width)
-    index, top = np.arange(width), np.minimum(customers, 1.0)
+    context, dish = F.floor(F.col("key") / F.lit(width)).cast("bigint"), F.pmod(F.col("key"), F.lit(width))
+    if isinstance(bigrams, tuple):
+        seen, cold, total, count = bigrams
+        seen = materialize(seen, "bigrams")
+    else:
+        seen, cold = materialize(bigrams.select("key", "c", *(F.lit(None).cast("bigint").alias(i) for i in "uw")), "bigrams"), None
+        total, count = _by(seen, context, F.col("c"), width), _by(seen, dish, F.col("c"), width)
+    spark, model, key = seen.sparkSession, Model(width), F.col("key")
+    model.total = total
+    _settle(spark)
+    n_cold, n_once = cold.agg(F.count("*"), F.count_if(F.col("n") == 1)).first() if cold is not None else (0, 0)
+    shared, dishes, index = F.col("c") - F.col("t"), width - 1 + n_cold, np.arange(width)
+    state = seen.where("c > 1").withColumns({"t": F.lit(1).cast("bigint"), "own": F.lit(0.0)})
+    hot, mixed, words, file = materialize(state.where("key >= 0").select("key", "c", "t", "own"), "seats-0"), None, None, None
+    if n_cold:
+        mixed = materialize(state.where("key < 0").select("key", "c", "u", "w", "t", "own"), "cold-seats-0")
+        words = file = materialize(cold.where("n > 1").select("id", "n", F.col("n").alias("customers"), F.lit(1).cast("bigint").alias("top"), F.col("n").alias("tables")), "cold-words")
+
+    def sums() -> tuple[np.ndarray, np.ndarray]:
+        """Tables of the lookup table's restaurants, and customers of its dishes at the top."""
+        u, w = _by(hot, context, shared, width), _by(hot, dish, shared, width)
+        if n_cold:
+            u, w = u + _by(mixed, F.col("u"), shared, width), w + _by(mixed, F.col("w"), shared, width)
+        return total - u, count - w
+
+    def reseat_cold(tops: float, stream: int) -> tuple[DataFrame, float, float]:
+        """The cold words of two occurrences or more with what restaurants now send them, and all cold words' tables and customers at the top."""
+        less = mixed.select(F.col("w").alias("id"), shared.alias("w"), F.lit(0).cast("bigint").alias("u")).union(mixed.select("u", F.lit(0).cast("bigint"), shared))
+        less = less.where("id < 0").groupBy("id").agg(F.sum("w").alias("w"), F.sum("u").alias("u"))
+        now = {"customers": F.col("n") - F.coalesce("w", F.lit(0)), "tables": F.col("n") - F.coalesce("u", F.lit(0))}
+        met = words.join(less, "id", "left").withColumns(now).drop("u", "w")
+
+        def reseat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _larger(batches):
+                top = batch["top"].to_numpy()
+                new = seat(batch["id"].to_numpy(), batch["customers"].to_numpy(), tops - top, np.full(len(top), 1 / dishes), d0, s0, stream)
+                yield from batch.set_column(batch.column_names.index("top"), "top", pa.array(new)).to_batches(max_chunksize=1 << 16)
+
+        then = materialize(met.mapInArrow(reseat, met.schema), "cold-words")
+        discard(file)
+        _settle(spark)
+        sent = then.agg(F.coalesce(F.sum("top"), F.lit(0)), F.coalesce(F.sum("customers"), F.lit(0))).first()
+        return then, float(sent[0] + n_once), float(sent[1] + n_once)
+
+    def reseat_top(stream: int) -> tuple[float, float]:
+        """Seat what the restaurants send anew: the probability that all dishes share, and the divisor of both."""
+        nonlocal top, cold_top, words, file
+        tops, cold_customers = top.sum() + cold_top, 0.0
+        if n_cold:
+            words, cold_top, cold_customers = reseat_cold(tops, stream)
+            file = words
+        top = seat(index, customers.astype(np.int64), tops - top, np.full(width, 1 / dishes), d0, s0, stream).astype(float)
+        return float((s0 + d0 * (top.sum() + cold_top)) / dishes), float(s0 + customers.sum() + cold_customers)
+
+    tables, customers = sums()
+    top, cold_top, tails = np.minimum(customers, 1.0), float(n_cold), []
     for sweep in range(burn + samples):
-        top = seat(index, customers.astype(np.int64), top.sum() - top, np.full(width, 1 / dishes), d0, s0, 2 * sweep).astype(float)
-        parent = (np.maximum(customers - d0 * top, 0) + (s0 + d0 * top.sum()) / dishes) / (s0 + customers.sum())
-        given = spark.sparkContext.broadcast((parent, tables, total))
+        rest, every = reseat_top(2 * sweep)
+        given = spark.sparkContext.broadcast((_parent(customers, top, rest, every), tables, total))
 
         def reseat(batches: Iterator[pa.RecordBatch], sweep=sweep, given=given) -> Iterator[pa.RecordBatch]:
             parent, tables, total = given.value
             for batch in _larger(batches):
-                key, c, t, own = (col.to_numpy() for col in batch.columns)
-                u, w = key // width, key % width
-                new = seat(key, c, tables[u] - t, parent[w], d1, s1, 2 * sweep + 1)
-                share = (c - d1 * new) / (s1 + total[u]) if sweep >= burn else 0.0
-                yield from pa.table({"key": key, "c": c, "t": new, "own": own + share}).to_batches(max_chunksize=1 << 16)
-
-        then = materialize(state.mapInArrow(reseat, "key bigint, c bigint, t bigint, own double"), f"seats-{sweep + 1}")
-        discard(state)
-        state = then
-        tables, customers = _by(state, context, "t", width), _by(state, dish, "t", width)
+                keys, c, t, own = (batch[x].to_numpy() for x in ("key", "c", "t", "own"))
+                rows = {"key": keys, "c": c}
+                if "u" in batch.column_names:
+                    rows |= {x: batch[x].to_numpy() for x in "uw"}
+                    u, w = np.maximum(rows["u"], 0), np.maximum(rows["w"], 0)
+                    look = lambda x, i, a, name: np.where(rows[x] < 0, batch[name].to_numpy(), a[i])
+                    n, sits, above = look("u", u, total, "n"), look("u", u, tables, "tables"), look("w", w, parent, "parent")
+                else:
+                    u, w = keys // width, keys % width
+                    n, sits, above = total[u], tables[u], parent[w]
+                new = seat(keys, c, sits - t, above, d1, s1, 2 * sweep + 1)
+                rows |= {"t": new, "own": own + ((c - d1 * new) / (s1 + n) if sweep >= burn else 0.0)}
+                yield from pa.table(rows).to_batches(max_chunksize=1 << 16)
+
+        then = materialize(hot.mapInArrow(reseat, _HOT), "seats")
+        discard(hot)
+        hot = then
+        if n_cold:
+            above = words.select(F.col("id").alias("jw"), _parent(F.col("customers"), F.col("top"), rest, every).alias("parent"))
+            met = mixed.withColumn("jw", _meeting(F.col("w"), key)).join(above, "jw", "left").drop("jw")
+            met = met.withColumn("ju", _meeting(F.col("u"), key)).join(words.select(F.col("id").alias("ju"), "n", "tables"), "ju", "left").drop("ju")
+            then = materialize(met.mapInArrow(reseat, _MIXED), "cold-seats")
+            discard(mixed)
+            mixed = then
+        tables, customers = sums()
         if sweep >= burn:
             # the same sample for the parent: it reseats what the restaurants now send
-            top = seat(index, customers.astype(np.int64), top.sum() - top, np.full(width, 1 / dishes), d0, s0, 2 * sweep + 999_983).astype(float)
-            model.unigram.append((np.maximum(customers - d0 * top, 0) + (s0 + d0 * top.sum()) / dishes) / (s0 + customers.sum()))
+            rest, every = reseat_top(2 * sweep + 999_983)
+            model.unigram.append(_parent(customers, top, rest, every))
             model.backoff.append((s1 + d1 * tables) / (s1 + total))
+            tails.append((f"b{len(tails)}", f"p{len(tails)}", float((s1 + d1) / (s1 + 1)), float(_parent(1, 1, rest, every))))
+            if n_cold:
+                b, p = tails[-1][:2]
+                words = words.withColumns({b: (F.col("tables") * d1 + s1) / (F.col("n") + s1), p: _parent(F.col("customers"), F.col("top"), rest, every)})
         given.unpersist()
-    return state.select("key", "c", (F.col("own") / samples).alias("own")), model
+    own = hot.select("key", "c", (F.col("own") / samples).alias("own"))
+    known = spark.createDataFrame(pa.table({"i": index, "total": total}))
+    once = seen.where("c = 1").select("key", "c", F.when(key >= 0, context).alias("i")).join(F.broadcast(known), "i", "left")
+    own = own.union(once.select("key", "c", F.coalesce((1 - d1) / (F.col("total") + s1), F.lit(-1.0))))
+    if n_cold:
+        own = own.union(mixed.select("key", "c", F.col("own") / samples))
+    if cold is not None:
+        alone = cold.where("n = 1").select("id", "n", *(F.lit(x).alias(i) for b, p, by, pp in tails for i, x in ((b, by), (p, pp))))
+        model.cold = materialize(words.select(*alone.columns).union(alone) if n_cold else alone, "cold-model")
+    return own, model
 
 
 _ROW = (
-    "row bigint, doc_id {id}, held_out boolean, n_tokens bigint, n_known bigint, base double, lm double, n_rare bigint, "
-    "words array<bigint>, words_n array<bigint>, pairs array<bigint>, pairs_n array<bigint>, pairs_low array<double>"
+    "row bigint, doc_id {id}, held_out boolean, n_tokens bigint, n_known bigint, base double, lm double, "
+    "pairs array<bigint>, pairs_n array<bigint>, cold_u array<bigint>, cold_w array<bigint>, cold_n array<bigint>"
 )
 
 
 def _read(docs: DataFrame, vocab, model, head) -> DataFrame:
-    """One row per document: sums over what the broadcast tables know, and lists of what they don't."""
+    """One row per document: sums over what the broadcast tables know, and lists of what they don't: bigrams of the lookup table by key, others by their words."""
     from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -302,41 +456,30 @@ def _read(docs: DataFrame, vocab, model, head) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m, (head_keys, head_own) = vocab.value, model.value, head.value
-        row = TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40  # in the result twice that, and 1 more if held out
         log_counts = np.log10(v.counts + 1.0)
-        for doc_ids, texts in _texts(batches):
+        for doc_ids, texts in _texts(batches, _BATCH // 4):
             n = len(texts)
-            ids, lengths, words = v.ids(texts)
+            ids, lengths = v.ids(texts)
+            held = np.array([_held_out(d) for d in doc_ids], bool)
             of = np.repeat(np.arange(n), lengths)
-            base = np.bincount(of, log_counts[ids], n) + np.log10(v.end + 1.0)
+            base = np.bincount(of, log_counts[np.maximum(ids, 0)], n) + np.log10(v.end + 1.0)
             known = np.bincount(of, (ids > 0).astype(float), n) + (v.end > 0)
-            rare = (ids == 0) | (ids > v.model)
-            rare_log = np.bincount(of[rare], log_counts[ids[rare]], n)
-            n_rare = np.bincount(of[rare], minlength=n)
+            lists = lambda doc, a: pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array(a, pa.int64()))
             # bigrams once per document
-            keys, doc = v.keys(ids, lengths)
-            order = np.lexsort((keys, doc))
-            keys, doc = keys[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))))
-            times = np.diff(np.concatenate((first, [len(keys)])))
-            keys, doc = keys[first], doc[first]
-            low = m.lower(keys)
+            before, seq, doc = v.pairs(ids, lengths)
+            (doc, u, w), times = _unique(doc, before, seq)
+            cold = (u < 0) | (w < 0)
+            keys, key_doc, key_n = u[~cold] * v.width + w[~cold], doc[~cold], times[~cold]
             at = np.searchsorted(head_keys, keys)
             hit = np.zeros(len(keys), bool)
             inside = at < len(head_keys)
             hit[inside] = head_keys[at[inside]] == keys[inside]
-            lm = np.bincount(doc[hit], times[hit] * np.log10(head_own[at[hit]] + low[hit]), n) + rare_log
-            cold = np.flatnonzero(~hit)
-            cuts = np.searchsorted(doc[cold], np.arange(n + 1))
-            ends = np.concatenate(([0], np.cumsum(lengths)))
-            unknown = [Counter(w for w, i in zip(words[d], ids[ends[d] : ends[d + 1]].tolist()) if not i) for d in range(n)]
-            digest = xxhash.xxh64_intdigest
-            lists = lambda a, t: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(a[cold], t))
+            lm = np.bincount(key_doc[hit], key_n[hit] * np.log10(head_own[at[hit]] + m.lower(keys[hit])), n)
             columns = [
-                pa.array(np.arange(row, row + n)), pa.array(doc_ids, schema.field("doc_id").type), pa.array([zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2 for d in doc_ids], pa.bool_()), pa.array(lengths + 1), pa.array(known.astype(np.int64)),
-                pa.array(base), pa.array(lm), pa.array(n_rare.astype(np.int64)),
-                pa.array([[int(np.array(digest(w, 42), _U).view(np.int64)) for w in u] for u in unknown], pa.list_(pa.int64())), pa.array([list(u.values()) for u in unknown], pa.list_(pa.int64())),
-                lists(keys, pa.int64()), lists(times, pa.int64()), lists(low, pa.float64()),
+                pa.array(2 * np.arange(row, row + n) + held), pa.array(doc_ids, schema.field("doc_id").type), pa.array(held, pa.bool_()), pa.array(lengths + 1), pa.array(known.astype(np.int64)),
+                pa.array(base), pa.array(lm),
+                lists(key_doc[~hit], keys[~hit]), lists(key_doc[~hit], key_n[~hit]), lists(doc[cold], u[cold]), lists(doc[cold], w[cold]), lists(doc[cold], times[cold]),
             ]
             row += n
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -344,27 +487,79 @@ def _read(docs: DataFrame, vocab, model, head) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(read, kind)
 
 
+def _pair_logs(pairs: DataFrame, model) -> DataFrame:
+    """(row, lm, count_log, known) of rows (row, key, k, own) of the lookup table, or of rows with u, w and what the model's table says of the cold ones of them, null for unknown words."""
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in _larger(batches):
+            get = lambda name: np.asarray(batch[name].to_numpy(), float)
+            own, held = get("own"), batch["row"].to_numpy() % 2 == 1
+            if "u" in batch.column_names:
+                u, w = batch["u"].to_numpy(), batch["w"].to_numpy()
+                n = np.where(u < 0, get("n"), m.total[np.maximum(u, 0)])
+                low = np.zeros(len(u))
+                for s, (backoff, unigram) in enumerate(zip(m.backoff, m.unigram)):
+                    b, p = get(f"b{s}"), get(f"p{s}")
+                    # an unknown word has no restaurant, and as a dish the share of the base
+                    b, p = np.where(u < 0, np.where(np.isnan(b), 1.0, b), backoff[np.maximum(u, 0)]), np.where(w < 0, np.where(np.isnan(p), unigram[0], p), unigram[np.maximum(w, 0)])
+                    low += b * p / len(m.unigram)
+            else:
+                keys = batch["key"].to_numpy()
+                n, low = m.total[keys // m.width], m.lower(keys)
+            # what a training document has and the table lacks was seen once, there
+            once = (own < 0) | np.isnan(own) & ~held
+            own = np.where(once, (1 - DISCOUNTS[1]) / (STRENGTHS[1] + n), np.where(np.isnan(own), 0.0, own))
+            k, counted = get("k"), np.zeros(len(own))
+            out = {"row": batch["row"], "lm": k * np.log10(own + low), "count_log": counted, "known": counted.astype(np.int64)}
+            if "u" in batch.column_names:
+                times = get("w_n")  # a cold word's occurrences; hot ones are counted already
+                there = ~np.isnan(times)
+                out |= {"count_log": np.where(there, k * np.log10(np.where(there, times, 0) + 1), 0.0), "known": np.where(there, k, 0).astype(np.int64)}
+            yield from pa.table(out).to_batches(max_chunksize=1 << 16)
+
+    return pairs.mapInArrow(logs, "row bigint, lm double, count_log double, known bigint")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row of docs."""
     spark = docs.sparkSession
     training = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2)
     counts = materialize(count_words(training), "word-counts")
     words = vocabulary(counts)
-    vocab = spark.sparkContext.broadcast(words)
-    own, model = train(count_bigrams(training, vocab), words.width)
-    n = words.n
-    head = own.where(F.col("c") * BIGRAMS >= n).select("key", "own").toArrow().sort_by("key")
-    rows = materialize(_read(docs, vocab, spark.sparkContext.broadcast(model), spark.sparkContext.broadcast((head["key"].to_numpy(), head["own"].to_numpy()))), "scored")
-    cold_words = counts.where(F.col("c") * LOOKUP < n).select(F.xxhash64("word").alias("h"), "c")
-    asked = rows.select("row", F.explode(F.arrays_zip("words", "words_n")).alias("x")).select("row", F.col("x.words").alias("h"), F.col("x.words_n").alias("k"))
-    by_word = asked.join(cold_words, "h").select("row", (F.col("k") * F.log10(F.col("c") + 1)).alias("count_log"), F.col("k").alias("known"), F.lit(0.0).alias("lm"))
-    cold_pairs = own.where(F.col("c") * BIGRAMS < n).select("key", "own")
-    pairs = rows.select("row", F.explode(F.arrays_zip("pairs", "pairs_n", "pairs_low")).alias("x")).select("row", F.col("x.pairs").alias("key"), F.col("x.pairs_n").alias("k"), F.col("x.pairs_low").alias("low"))
-    by_pair = pairs.join(cold_pairs, "key", "left").select("row", F.lit(0.0).alias("count_log"), F.lit(0).cast("bigint").alias("known"), (F.col("k") * F.log10(F.coalesce("own", F.lit(0.0)) + F.col("low"))).alias("lm"))
-    more = by_word.unionByName(by_pair).groupBy(F.col("row").alias("__row")).agg(*[F.sum(c).alias(f"more_{c}") for c in ("count_log", "known", "lm")])
-    out = rows.drop("words", "words_n", "pairs", "pairs_n", "pairs_low").join(more, F.col("row") == F.col("__row"), "left").na.fill(0, ["more_count_log", "more_known", "more_lm"])
+    vocab, n, width = spark.sparkContext.broadcast(words), words.n, words.width
+    cold = cold_words(counts, words.least)
+    ends = np.array([words.end, 0], float)
+    own, model = train((count_bigrams(docs, vocab), cold, np.concatenate((words.counts, ends[::-1])), np.concatenate((words.counts, ends))), width)
+    _settle(spark)
+    in_head = (F.col("key") >= 0) & (F.col("c") * BIGRAMS >= n)
+    head = own.where(in_head).select("key", "own").toArrow().sort_by("key")
+    given = spark.sparkContext.broadcast(model)
+    rows = materialize(_read(docs, vocab, given, spark.sparkContext.broadcast((head["key"].to_numpy(), head["own"].to_numpy()))), "scored")
+    listed = lambda *names: rows.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *(F.col(f"x.{i}").alias(i) for i in names))
+    per_row = lambda df: df.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("lm", "count_log", "known")))
+    pairs = listed("pairs", "pairs_n").select("row", F.col("pairs").alias("key"), F.col("pairs_n").alias("k"))
+    logs = _pair_logs(pairs.join(own.where((F.col("key") >= 0) & ~in_head).select("key", "own"), "key", "left"), given)
+    logs = materialize(per_row(logs), "hot-logs")
+    _settle(spark)
+    if model.cold is not None:
+        pairs = listed("cold_u", "cold_w", "cold_n").select("row", F.col("cold_u").alias("u"), F.col("cold_w").alias("w"), F.col("cold_n").alias("k"))
+        samples = range(len(model.unigram))
+        above, at = model.cold.select(F.col("id").alias("w"), F.col("n").alias("w_n"), *(f"p{s}" for s in samples)), model.cold.select(F.col("id").alias("u"), "n", *(f"b{s}" for s in samples))
+        no_p = [F.lit(None).cast("bigint").alias("w_n"), *(F.lit(None).cast("double").alias(f"p{s}") for s in samples)]
+        no_b = [F.lit(None).cast("bigint").alias("n"), *(F.lit(None).cast("double").alias(f"b{s}") for s in samples)]
+        columns = ["row", "u", "w", "k", "own", *above.columns[1:], *at.columns[1:]]
+        pairs = pairs.withColumn("key", _key(F.col("u"), F.col("w"), width)).join(own.where("key < 0").select("key", "own"), "key", "left").drop("key")
+        pairs = materialize(pairs, "cold-pairs")
+        _settle(spark)
+        hot_u = pairs.where("u >= 0").join(above, "w", "left").select("*", *no_b).select(*columns)
+        hot_w = pairs.where("w >= 0").select("*", *no_p).join(at, "u", "left").select(*columns)
+        both = pairs.where("u < 0 AND w < 0").join(above, "w", "left").join(at, "u", "left").select(*columns)
+        logs = logs.union(_pair_logs(hot_u.union(hot_w).union(both), given))
+    more = per_row(logs).select(F.col("row").alias("__row"), *(F.col(c).alias(f"more_{c}") for c in ("count_log", "known", "lm")))
+    out = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm").join(more, F.col("row") == F.col("__row"), "left").na.fill(0, ["more_count_log", "more_known", "more_lm"])
     base = F.col("base") + F.col("more_count_log") - F.col("n_tokens") * F.lit(float(np.log10(n + words.v + 1)))
-    lm = F.col("lm") + F.col("more_lm") + F.col("more_count_log") - F.col("n_rare") * F.lit(float(np.log10(words.n_rare + words.v_rare + 1)))
+    lm = F.col("lm") + F.col("more_lm")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("more_known")).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), lm.alias("score"), F.pow(F.lit(10.0), -lm / F.col("n_tokens")).alias("perplexity"))
 
 
