@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -362,6 +363,39 @@ def test_stage_removes_near_copies_of_similarity_0_8(spark, crowd, monkeypatch):
     assert 30 < len(found) < len(rows) / 2
 
 
+def test_stage_links_what_fingerprints_within_3_bits_link(spark, monkeypatch):
+    """Without any MinHash key: sets of five-word fingerprints within RADIUS bits that are similar share a component, others do not."""
+    real = simhash._sketch
+
+    def no_keys(text):
+        found = real(text)
+        return pa.array([x | {"bands": []} for x in found.to_pylist()], found.type)
+
+    rng, rows = random.Random(9), [(-1, ""), (-2, " "), (-3, "one two"), (-4, "one two three")]
+    for g in range(20):
+        base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+        for edits in (0, 1, 1, 2, 12):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = f"x{rng.randrange(9999)}"
+            rows.append((len(rows), " ".join(copy)))
+    prints = [simhash.set_fingerprint(simhash.shingle_set(t.encode())) for _, t in rows]
+    root, near = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 3 and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                near += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    monkeypatch.setattr(simhash, "_sketch", no_keys)
+    found = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    groups = defaultdict(set)
+    for r, (d, _) in zip(root, rows):
+        groups[r].add(d)
+    assert near > 30
+    assert {frozenset(g) for g in groups.values()} == {frozenset(d for d in found if found[d] == c) for c in set(found.values())}
+
+
 @pytest.mark.parametrize("size", [1, 7, 40, 120])
 def test_prefix_join_misses_no_similar_pair(spark, size):
     """Copies of one text without the text itself, of unequal lengths, each a component of its own: all similar pairs are candidates, far ones are not."""

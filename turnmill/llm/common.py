@@ -47,6 +47,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the JVM find the shuffles of finished plans, whose files Spark then deletes."""
+    spark._jvm.System.gc()
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Hint a broadcast only where the counted rows stay within the stated bound; else the join shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import discard, materialize, table
+from turnmill.llm.common import discard, materialize, settle, table
 
 #: Words of the lookup table at most; share of all tokens from which a bigram is broadcast.
 LOOKUP, BIGRAMS = 300_000, 2_000_000
@@ -294,11 +294,6 @@ class Model:
         return sum(b[u] * p[w] for b, p in zip(self.backoff, self.unigram)) / len(self.unigram)
 
 
-def _settle(spark: SparkSession) -> None:
-    """Let the JVM find the shuffles of finished plans, whose files Spark then deletes."""
-    spark._jvm.System.gc()
-
-
 def _by(df: DataFrame, expr, value, width: int) -> np.ndarray:
     """Sums by the ids of the lookup table as an array."""
     out = np.zeros(width)
@@ -338,7 +333,7 @@ def train(bigrams: DataFrame | tuple[DataFrame, DataFrame, np.ndarray, np.ndarra
         total, count = _by(seen, context, F.col("c"), width), _by(seen, dish, F.col("c"), width)
     spark, model, key = seen.sparkSession, Model(width), F.col("key")
     model.total = total
-    _settle(spark)
+    settle(spark)
     n_cold, n_once = cold.agg(F.count("*"), F.count_if(F.col("n") == 1)).first() if cold is not None else (0, 0)
     shared, dishes, index = F.col("c") - F.col("t"), width - 1 + n_cold, np.arange(width)
     state = seen.where("c > 1").withColumns({"t": F.lit(1).cast("bigint"), "own": F.lit(0.0)})
@@ -369,7 +364,7 @@ def train(bigrams: DataFrame | tuple[DataFrame, DataFrame, np.ndarray, np.ndarra
 
         then = materialize(met.mapInArrow(reseat, met.schema), "cold-words")
         discard(file)
-        _settle(spark)
+        settle(spark)
         sent = then.agg(F.coalesce(F.sum("top"), F.lit(0)), F.coalesce(F.sum("customers"), F.lit(0))).first()
         return then, float(sent[0] + n_once), float(sent[1] + n_once)
 
@@ -531,7 +526,7 @@ def score(docs: DataFrame) -> DataFrame:
     cold = cold_words(counts, words.least)
     ends = np.array([words.end, 0], float)
     own, model = train((count_bigrams(docs, vocab), cold, np.concatenate((words.counts, ends[::-1])), np.concatenate((words.counts, ends))), width)
-    _settle(spark)
+    settle(spark)
     in_head = (F.col("key") >= 0) & (F.col("c") * BIGRAMS >= n)
     head = own.where(in_head).select("key", "own").toArrow().sort_by("key")
     given = spark.sparkContext.broadcast(model)
@@ -541,7 +536,7 @@ def score(docs: DataFrame) -> DataFrame:
     pairs = listed("pairs", "pairs_n").select("row", F.col("pairs").alias("key"), F.col("pairs_n").alias("k"))
     logs = _pair_logs(pairs.join(own.where((F.col("key") >= 0) & ~in_head).select("key", "own"), "key", "left"), given)
     logs = materialize(per_row(logs), "hot-logs")
-    _settle(spark)
+    settle(spark)
     if model.cold is not None:
         pairs = listed("cold_u", "cold_w", "cold_n").select("row", F.col("cold_u").alias("u"), F.col("cold_w").alias("w"), F.col("cold_n").alias("k"))
         samples = range(len(model.unigram))
@@ -551,7 +546,7 @@ def score(docs: DataFrame) -> DataFrame:
         columns = ["row", "u", "w", "k", "own", *above.columns[1:], *at.columns[1:]]
         pairs = pairs.withColumn("key", _key(F.col("u"), F.col("w"), width)).join(own.where("key < 0").select("key", "own"), "key", "left").drop("key")
         pairs = materialize(pairs, "cold-pairs")
-        _settle(spark)
+        settle(spark)
         hot_u = pairs.where("u >= 0").join(above, "w", "left").select("*", *no_b).select(*columns)
         hot_w = pairs.where("w >= 0").select("*", *no_p).join(at, "u", "left").select(*columns)
         both = pairs.where("u < 0 AND w < 0").join(above, "w", "left").join(at, "u", "left").select(*columns)

@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import broadcast_if, discard, materialize, table
+from turnmill.llm.common import broadcast_if, discard, materialize, settle, table
 
 SHINGLE, RADIUS, SEED, HOT = 3, 3, 42, 2048
-#: The pipeline stage: words of a shingle, least similarity, MinHash keys and minima of each, sets of a key that are all compared.
+#: The pipeline stage, beside RADIUS: words of a shingle, least similarity, MinHash keys and minima of each, sets of a key that are all compared.
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS, CROWD = 5, 0.8, 24, 5, 2
 #: Sizes of sets within this factor share a bucket of the prefix join.
 _GROWTH = 1.05
@@ -182,6 +182,14 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(len(words) - width + 1 if words else 0)], np.uint64))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """A bit is 1 if set in over half of a set's hashes."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(shingles), _STEP):
+        votes += np.unpackbits(shingles[i : i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity of the shingle sets; 1 if both are empty."""
     x, y = shingle_set(a), shingle_set(b)
@@ -206,8 +214,8 @@ def _sketch(text: pa.Array) -> pa.Array:
     out = []
     for x in text.cast(pa.binary()).to_pylist():
         s = shingle_set(x or b"")
-        out.append({"set": xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), "size": len(s), "bands": bands(s)})
-    return pa.array(out, pa.struct([("set", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+        out.append({"set": xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63), "size": len(s), "fp": set_fingerprint(s), "bands": bands(s)})
+    return pa.array(out, pa.struct([("set", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))]))
 
 
 def _shingles(text: pa.Array) -> pa.Array:
@@ -297,18 +305,42 @@ def prefix_pairs(rooted: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets (set, fp) that connect whatever fingerprints within RADIUS bits connect: by the deletion variants of op4."""
+    first = materialize(sets.groupBy("fp").agg(F.min("set").alias("first")), "set-fingerprints")
+    same = sets.join(first, "fp").where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("sa")), first.select(F.col("fp").alias("b"), F.col("first").alias("sb"))
+    near = links(first.select("fp")).join(a, "a").join(b, "b").select(F.col("sa").alias("a"), F.col("sb").alias("b"))
+    pairs = materialize(same.union(near), "fingerprint-pairs")
+    discard(first)
+    return pairs
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no link found so far connects."""
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, set, component) for every row of docs (doc_id, text): texts of similarity SIMILARITY or more are linked.
 
-    Rows of one shingle set meet first. Two sets of similarity 0.8 share one of the BANDS keys with probability 0.9999, more
-    above. A key of up to CROWD sets gives all its pairs. The sets of a larger key are first compared with its most central set,
-    the one whose keys hold most sets. The sets of those keys that still are in several components go through an exact
-    prefix join, which gives the pairs of different components that can be similar. Every link is verified on the whole texts.
+    Rows of one shingle set meet first. Then come the sets' 64-bit SimHash fingerprints: the deletion variants give links that connect all
+    sets within RADIUS bits. At similarity 0.8 fingerprints differ by 7 to 10 bits, more than deletion variants can reach, so MinHash goes on from there: two sets
+    of similarity 0.8 share one of the BANDS keys with probability 0.9999, more above. A key of up to CROWD sets gives all its pairs; the sets of a larger key are
+    compared with its most central set, the one whose keys hold most sets. Pairs that are connected already are not compared again. The sets of those keys,
+    and of those fingerprint groups, that still are in several components go through an exact prefix join, which gives the pairs of different
+    components that can be similar. Every link is verified on the whole texts.
     """
-    kind = "struct<set:bigint,size:bigint,bands:array<bigint>>"
-    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.arrow_udf(_sketch, kind)(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.set", "s.size", "s.bands"), "sketches")
-    sets = rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    sets = materialize(sets.select("set", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("th"), "size", "bands"), "sets")
+    kind = "struct<set:bigint,size:bigint,fp:bigint,bands:array<bigint>>"
+    rows = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.arrow_udf(_sketch, kind)(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.set", "s.size", "s.fp", "s.bands"), "sketches")
+    sets = rows.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    sets = materialize(sets.select("set", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("th"), "size", "fp", "bands"), "sets")
+    asked = fingerprint_pairs(sets.select("set", "fp"))
+    grouped = components(asked).select(F.col("root").alias("key"), F.col("node").alias("set"))
+    near = _verified(asked, lambda some: _texts_of(some, sets, docs))
+    roots = components(near)
+    settle(docs.sparkSession)
     keyed = sets.select("set", "size", F.explode("bands").alias("key"))
     met = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-keys")
     few = keyed.join(met.where(F.col("n") <= CROWD).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("set", "size"))).alias("m"))
@@ -318,9 +350,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     central = crowd.groupBy("set", "size").agg(F.sum("n").alias("degree"), F.collect_list("key").alias("keys"))
     central = central.select("set", "size", "degree", F.explode("keys").alias("key")).groupBy("key").agg(F.max(F.struct("degree", "set", "size")).alias("c"))
     star = crowd.join(central, "key").where(_near_size(F.col("size"), F.col("c.size"))).select(F.col("c.set").alias("a"), F.col("set").alias("b"))
-    found = _verified(few.union(star), lambda asked: _texts_of(asked, sets, docs))
+    found = near.union(_verified(_apart(few.union(star).distinct(), roots), lambda some: _texts_of(some, sets, docs)))
     roots = components(found)
-    named = materialize(crowd.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root")), "crowd-roots")
+    settle(docs.sparkSession)
+    together = crowd.select("key", "set").union(grouped)
+    named = materialize(together.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root")), "crowd-roots")
     open_ = named.join(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "key", "left_semi")
     open_ = materialize(open_.select("set", "root").distinct(), "open-sets")
     if open_.limit(1).count():
@@ -330,8 +364,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         discard(pairs)
         discard(texts)
         roots = components(found)
-    for done in (met, crowd, named, sets):
+    for done in (asked, met, crowd, named, sets):
         discard(done)
+    settle(docs.sparkSession)
     return rows.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "text_hash", "set", F.coalesce("root", "set").alias("component"))
 
 
