@@ -603,6 +603,60 @@ def test_lm_words_outside_the_lookup_table_by_brute_force(spark, monkeypatch):
         assert sum(probability(u, w) for w in dishes) == pytest.approx(1.0, abs=1e-9)
 
 
+def test_lm_bigrams_travel_in_few_bytes(spark):
+    """Counting bigrams shuffles some 3 bytes for each, not a row, and counts exactly, with cold words and rare ones that held-out documents ask for."""
+    import zlib
+
+    draw = random.Random(8)
+    names = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(draw.choices(names, k=2000)) for _ in range(100)] + ["w1 w2 zeta w3", "eta zeta", None, "  W1\x0bw2 zeta w3 "] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    learn = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    counts = Counter(w for t, x in zip(texts, learn) if x for w in words(lower(t or "")))
+    hot = sorted((w for w in counts if w in set(names)), key=lambda w: (-counts[w], w))
+    vocab = spark.sparkContext.broadcast(lm.Vocabulary([w.encode() for w in hot], [counts[w] for w in hot], sum(counts.values()) + sum(learn), len(counts) + 1, sum(learn), 1))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    rows = lm.count_bigrams(docs, vocab).collect()
+    found = {r.key: r.c for r in rows}
+    assert len(rows) == len(found)
+    index, end = {w: i for i, w in enumerate(hot, 1)}, len(hot) + 1
+    id_of = lambda w: index.get(w) or lm.cold_id(w.encode())
+    seqs = [[end + 1, *map(id_of, words(lower(t or ""))), end] for t in texts]
+    seen = Counter(p for s, x in zip(seqs, learn) if x for p in zip(s, s[1:]))
+    asked = {p for s, x in zip(seqs, learn) if not x for p in zip(s, s[1:])}
+    wanted = {p: c for p, c in seen.items() if c > 1 or p in asked or c * lm.BIGRAMS >= vocab.value.n}
+    assert {(r.u, r.w): r.c for r in rows if r.key < 0} == {p: c for p, c in wanted.items() if min(p) < 0} != {}
+    assert {r.key: r.c for r in rows if r.key >= 0} == {u * vocab.value.width + w: c for (u, w), c in wanted.items() if min(u, w) >= 0}
+    assert sum(n for s, n in written().items() if s not in before) < 5 * len(seen)
+
+
+def test_lm_parts_and_blobs():
+    """Mixing is one to one, parts hold each key once, and blobs give back what was packed."""
+    import numpy as np
+
+    for width in (4, 1000, lm.LOOKUP + 3):
+        parts = lm.Parts(width, 24)
+        keys = np.unique(np.random.default_rng(3).integers(0, width * width, 5000))
+        run = np.sort(parts.mix(keys))
+        assert len(np.unique(run)) == len(keys) and np.array_equal(np.sort(parts.keys(run)), keys)
+        cut = list(parts.cut(run))
+        assert [i for _, at in cut for i in range(at.start, at.stop)] == list(range(len(run)))
+        assert width == 4 or max(at.stop - at.start for _, at in cut) < 2 * len(run) / 24
+        again, back = lm._unpack(lm._pack(run, keys.astype(np.uint16)), len(run), np.uint16)
+        assert np.array_equal(again, run) and np.array_equal(back, keys.astype(np.uint16))
+    cold = np.array([0, 1, 2**62, 2**63 - 1], np.uint64)
+    assert [(p, at.start, at.stop) for p, at in lm._cut_cold(cold, 4)] == [(0, 0, 2), (2, 2, 3), (3, 3, 4)]
+    texts = [b"", b" ", b"A", b" a\x0bB\x0c\r\tc  d ", b"\xff\xfe A\x00B \xc2\xa0x \x1c q\x1fA", b"\n\n"]
+    found, lengths = lm._split(texts)
+    assert found.to_pylist() == [w for t in texts for w in t.lower().split()] and lengths.tolist() == [len(t.split()) for t in texts]
+
+
 # 7
 
 

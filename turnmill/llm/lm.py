@@ -9,7 +9,8 @@ travels. Other dishes' tables and the parent are those of the last sweep, so row
 reseats the tables it received. After BURN sweeps, the predictive probabilities of SAMPLES sweeps are averaged.
 
 Every training word is a dish and has a restaurant, however rare; a word that training lacks has no restaurant and, as a dish, one share of
-the uniform base. Bounded tables are broadcast: the LOOKUP most frequent words, sums of theirs, and bigrams of theirs with at least 1/BIGRAMS of all tokens. All other words and bigrams meet the documents and each other in shuffles by 64-bit hash or key, where no key is frequent.
+the uniform base. Bounded tables are broadcast: the LOOKUP most frequent words, sums of theirs, and bigrams of theirs with at least 1/BIGRAMS of all tokens. All other words and bigrams meet the documents and each other in shuffles by 64-bit hash or key, where
+no key is frequent; bigrams travel in compressed blobs, sorted, of one part of the keys each.
 
 Null text is empty (one token, the end). A null doc_id counts as the empty string for the split. Repeated rows are documents of their own. With no training
 rows all probabilities are the uniform base. Other columns are ignored.
@@ -19,12 +20,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,9 @@ DISCOUNTS, STRENGTHS, BURN, SAMPLES, SEED = (0.6, 0.8), (1.0, 2.0), 2, 3, 42
 #: Customers up to which Stirling numbers are tabulated, 8 MB a discount.
 STIRLING = 1024
 END = b"\n"
-_BATCH, _FLUSH = 8 << 20, 400_000
+_BATCH, _ROWS = 8 << 20, 1 << 15
+#: Training tokens for each part of the bigrams that are counted or read together; parts at least.
+COUNTED, READ, PARTS = 2_500_000, 20_000_000, 24
 _U = np.uint64
 
 
@@ -135,15 +139,22 @@ def seat(key: np.ndarray, customers: np.ndarray, others: np.ndarray, parent: np.
     return tables.astype(np.int64)
 
 
+def _release() -> None:
+    """Give back what a worker's earlier tasks left allocated, by Arrow and by malloc."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def _texts(batches: Iterator[pa.RecordBatch], most: int = _BATCH) -> Iterator[tuple[list, list[bytes]]]:
-    """(first column, texts) in batches balanced by bytes."""
+    """(first column, texts) in batches balanced by bytes, of at most _ROWS."""
+    _release()
     ids, texts, size = [], [], 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             ids.append(i)
             texts.append(t or b"")
             size += len(texts[-1])
-            if size >= most:
+            if size >= most or len(ids) == _ROWS:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
@@ -154,19 +165,23 @@ def _held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def _split(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words of all texts in a row, lower-cased, and the number of words of each."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    words = found.flatten().view(pa.large_binary())
+    there = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
+    before = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))
+    return words.filter(there), np.diff(before[found.offsets.to_numpy()])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) of training documents, END among the words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for ids, texts in _texts(batches):
-            for t in texts:
-                seen.update(t.lower().split())
-            seen[END] += len(ids)
-            if len(seen) > _FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
-                seen = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
+        for ids, texts in _texts(batches, 2 * _BATCH):
+            values, counts = _split(texts)[0].value_counts().flatten()
+            yield pa.RecordBatch.from_arrays([values.cast(pa.binary()), counts], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(ids)], pa.int64())], names=["word", "c"])
 
     return docs.select("doc_id", "text").mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -180,14 +195,16 @@ class Vocabulary:
     """Every word has an id: of the lookup table by falling count from 1 on, then the end and the start; others have a cold_id. 0 is no word."""
 
     def __init__(self, words: list[bytes], counts: list[int], n: int, v: int, end: int, least: int):
-        self.index = {w: i for i, w in enumerate(words, 1)}
+        self.words = pa.array(words, pa.large_binary())
         self.counts, self.n, self.v, self.end, self.least, self.width = np.array([0, *counts], np.int64), n, v, end, least, len(words) + 3
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of all texts in a row and the number of words of each."""
-        get = self.index.get
-        ids = [np.array([get(w) or cold_id(w) for w in t.lower().split()], np.int64) for t in texts]
-        return np.concatenate([np.zeros(0, np.int64), *ids]), np.array([len(i) for i in ids], np.int64)
+        words, lengths = _split(texts)
+        ids = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64) + 1
+        cold = words.filter(pa.array(ids == 0)).dictionary_encode()
+        ids[ids == 0] = np.array([cold_id(w) for w in cold.dictionary.to_pylist()], np.int64)[cold.indices.to_numpy()]
+        return ids, lengths
 
     def pairs(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Previous token, token and document of every place, ends included."""
@@ -245,27 +262,196 @@ def _key(u, w, width: int):
     return F.when((u >= 0) & (w >= 0), u * F.lit(width) + w).otherwise(-F.shiftrightunsigned(F.xxhash64(u, w), 1) - 1)
 
 
+def _mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (u.astype(_U) * _U(0x9E3779B97F4A7C15)) ^ w.astype(_U)
+        z = (z ^ (z >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+        return z ^ (z >> _U(32))
+
+
+class Parts:
+    """Bigram keys of the lookup table in a mixed order, a bijection of the numbers below 2^bits, cut into parts of about the same size.
+
+    Keys travel as the gaps of a sorted run, in compressed byte planes: 2 to 3 bytes each instead of a row.
+    """
+
+    def __init__(self, width: int, count: int):
+        self.width, self.count, self.bits = width, count, max((width * width - 1).bit_length(), 1)
+        self.mask, self.factor = _U(2**self.bits - 1), 0x9E3779B97F4A7C15 % 2**self.bits | 1
+        self.inverse = pow(self.factor, -1, 2**self.bits)
+        self.bounds = np.array([-(-i * 2**self.bits // count) for i in range(count + 1)], _U)
+
+    def mix(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(_U) * _U(self.factor)) & self.mask
+
+    def keys(self, mixed: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((mixed * _U(self.inverse)) & self.mask).astype(np.int64)
+
+    def cut(self, mixed: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """(part, place) of the parts that a sorted run touches."""
+        at = np.searchsorted(mixed, self.bounds)
+        yield from ((int(i), slice(at[i], at[i + 1])) for i in np.flatnonzero(np.diff(at)))
+
+
+def _cut_cold(run: np.ndarray, count: int) -> Iterator[tuple[int, slice]]:
+    """The same for a sorted run of cold words, each as -(id + 1), which is a hash below 2^63."""
+    at = np.searchsorted(run, np.array([*(-(-i * 2**63 // count) for i in range(count)), 2**63], _U))
+    yield from ((int(i), slice(at[i], at[i + 1])) for i in np.flatnonzero(np.diff(at)))
+
+
+def _pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """xxhash64(u, w) >>> 1 as Spark computes it, which is -(key + 1) of a bigram with a cold word."""
+    p1, p2, p3, p4, p5 = map(_U, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << _U(n)) | (x >> _U(64 - n))
+    z = np.full(len(u), 42, _U)
+    with np.errstate(over="ignore"):
+        for x in (u, w):
+            z = z + p5 + _U(8)
+            z = turn(z ^ (turn(x.astype(_U) * p2, 31) * p1), 27) * p1 + p4
+            z = (z ^ (z >> _U(33))) * p2
+            z = (z ^ (z >> _U(29))) * p3
+            z = z ^ (z >> _U(32))
+    return z >> _U(1)
+
+
+def _pack(run: np.ndarray, *columns: np.ndarray) -> bytes:
+    """A sorted run and columns beside it as compressed byte planes, for each column after a byte that says how many: high bytes of 0 are left out."""
+    gaps = np.diff(run, prepend=run[:1])
+    gaps[0] = run[0]
+    out = []
+    for c in map(np.ascontiguousarray, (gaps, *columns)):
+        size = c.itemsize if c.dtype.kind == "f" else -(-int(c.view(f"u{c.itemsize}").max()).bit_length() // 8)
+        out += [bytes([size]), c.view(np.uint8).reshape(len(c), c.itemsize)[:, :size].T.tobytes()]
+    plain = b"".join(out)
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unpack(blob, n: int, *kinds) -> list[np.ndarray]:
+    blob = memoryview(blob)
+    flat, at, out = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd"), np.uint8), 0, []
+    for k in (np.dtype(k) for k in (_U, *kinds)):
+        size = int(flat[at])
+        c = np.zeros((n, k.itemsize), np.uint8)
+        c[:, :size] = flat[at + 1 : at + 1 + n * size].reshape(size, n).T
+        out.append(c.view(k)[:, 0])
+        at += 1 + n * size
+    return [np.cumsum(out[0], dtype=_U), *out[1:]]
+
+
+_BLOB_KIND = "part int, kind int, n bigint, row bigint, blob binary"
+_BLOBS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("row", pa.int64()), ("blob", pa.binary())])
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _BLOBS)], schema=_BLOBS)
+
+
+def _gathered(blobs: DataFrame) -> DataFrame:
+    """Blobs of a part behind each other, by kind."""
+    return blobs.repartition("part").sortWithinPartitions("part", "kind")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(part, (kind, n, row, blob) ...) of gathered blobs."""
+    _release()
+    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() if i < 4 else b.column(i) for i in range(5))))
+    for part, own in groupby(rows, lambda r: r[0]):
+        yield part, ((kind, n, row, blob.as_buffer()) for _, kind, n, row, blob in own)
+
+
+def _sums(values: np.ndarray, c: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows the sum of counts of each value, and whether a count is 0: where a value begins, new is true."""
+    first = np.flatnonzero(new)
+    return (np.add.reduceat(c, first), np.minimum.reduceat(c, first) == 0) if len(first) else (np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+def _new(*sorted_columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in sorted_columns], axis=0)
+    return new
+
+
 def count_bigrams(docs: DataFrame, vocab) -> DataFrame:
     """(key, c, u, w) of the bigrams of training documents: all seen twice or more, and of the others those that held-out documents ask for or
-    that are broadcast. The words u and w stand only where key doesn't hold them and c > 1."""
+    that are broadcast. The words u and w stand only where key doesn't hold them.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Batches send their distinct bigrams to the parts as blobs: kind 0 of the lookup table by mixed key, kind 1 with a cold word, by both words.
+    """
+    width, n = vocab.value.width, vocab.value.n
+    parts = Parts(width, max(PARTS, -(-n // COUNTED)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         for doc_ids, texts in _texts(batches):
+            of_doc = np.array([_held_out(d) for d in doc_ids], bool)
+            before, seq, doc = v.pairs(*v.ids(texts))
             for held in (False, True):
-                some = [t for d, t in zip(doc_ids, texts) if _held_out(d) == held]
-                (u, w), n = _unique(*v.pairs(*v.ids(some))[:2])
-                n = np.zeros(len(u), np.int64) if held else n.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(n)], names=["u", "w", "c"])
+                some = of_doc[doc] == held
+                u, w = before[some], seq[some]
+                hot = (u >= 0) & (w >= 0)
+                run, c = np.unique(parts.mix(u[hot] * width + w[hot]), return_counts=True)
+                c = (c * (not held)).astype(np.int64)
+                rows = [(part, 0, len(run[at]), 0, _pack(run[at], c[at])) for part, at in parts.cut(run)]
+                (u, w), c = _unique(u[~hot], w[~hot])
+                c = (c * (not held)).astype(np.int64)
+                of = (_mixed(u, w) % _U(parts.count)).astype(np.int64)
+                order = np.lexsort((w, u, of))
+                u, w, c, of = u[order], w[order], c[order], of[order]
+                ends = np.searchsorted(of, np.arange(parts.count + 1))
+                for part in np.flatnonzero(np.diff(ends)):
+                    at = slice(ends[part], ends[part + 1])
+                    # ids below 0 sort as signed numbers; gaps wrap around and back
+                    rows.append((int(part), 1, at.stop - at.start, 0, _pack(u[at].view(_U), w[at], c[at])))
+                yield _blobs(rows)
 
-    found = docs.select("doc_id", "text").mapInArrow(count, "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c"), F.min("c").alias("least"))
-    found = found.where((F.col("c") > 1) | (F.col("c") == 1) & ((F.col("least") == 0) | (F.col("c") * BIGRAMS >= vocab.value.n)))
-    named = (F.least("u", "w") < 0) & (F.col("c") > 1)
-    return found.select(_key(F.col("u"), F.col("w"), vocab.value.width).alias("key"), "c", *(F.when(named, F.col(i)).alias(i) for i in "uw"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept(sums, asked):
+            return (sums > 1) | (sums == 1) & (asked | (sums * BIGRAMS >= n))
+
+        def out(keys, c, u, w):
+            none = pa.nulls(len(c), pa.int64())
+            columns = [none if x is None else pa.array(x) for x in (keys, c, u, w)]
+            yield from pa.table(columns, names=["key", "c", "u", "w"]).to_batches(max_chunksize=1 << 16)
+
+        for _, blobs in _by_part(batches):
+            hot, cold = [], []
+            for kind, size, _, blob in blobs:
+                (cold if kind else hot).append(_unpack(blob, size, *([np.int64] * (1 + kind))))
+            if hot:
+                run, c = (np.concatenate(x) for x in zip(*hot))
+                hot.clear()
+                free = 64 - parts.bits
+                if free > 8 and int(c.max()) < 1 << free:  # key and count sort as one number
+                    both = np.sort((run << _U(free)) | c.astype(_U))
+                    run, c = both >> _U(free), (both & _U((1 << free) - 1)).astype(np.int64)
+                else:
+                    order = np.argsort(run)
+                    run, c = run[order], c[order]
+                new = _new(run)
+                sums, asked = _sums(run, c, new)
+                keep = kept(sums, asked)
+                yield from out(parts.keys(run[new][keep]), sums[keep], None, None)
+            if cold:
+                u, w, c = (np.concatenate(x) for x in zip(*cold))
+                cold.clear()
+                u = u.view(np.int64)
+                order = np.lexsort((w, u))
+                u, w, c = u[order], w[order], c[order]
+                new = _new(u, w)
+                sums, asked = _sums(u, c, new)
+                keep = kept(sums, asked)
+                yield from out(None, sums[keep], u[new][keep], w[new][keep])
+
+    blobs = docs.select("doc_id", "text").mapInArrow(send, _BLOB_KIND)
+    found = _gathered(blobs).mapInArrow(count, "key bigint, c bigint, u bigint, w bigint")
+    return found.select(F.coalesce("key", _key(F.col("u"), F.col("w"), width)).alias("key"), "c", "u", "w")
 
 
 def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 18) -> Iterator[pa.Table]:
     """Neighbouring batches as tables of about so many rows."""
+    _release()
     held, n = [], 0
     for batch in batches:
         held.append(batch)
@@ -294,12 +480,36 @@ class Model:
         return sum(b[u] * p[w] for b, p in zip(self.backoff, self.unigram)) / len(self.unigram)
 
 
-def _by(df: DataFrame, expr, value, width: int) -> np.ndarray:
-    """Sums by the ids of the lookup table as an array."""
-    out = np.zeros(width)
-    found = df.select(expr.alias("i"), value.alias("x")).where("i >= 0").groupBy("i").agg(F.sum("x").cast("double").alias("s")).toArrow()
-    out[found["i"].to_numpy()] = found["s"].to_numpy()
-    return out
+def _by(df: DataFrame, first, second, value, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of value by the ids of the lookup table in two columns, as arrays; ids below 0 don't count. Tasks send theirs as blobs, by places."""
+    step = -(-2 * width // 16)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(2 * width, np.int64)
+        for batch in _larger(batches):
+            x = batch["x"].to_numpy()
+            for start, name in ((0, "i"), (width, "j")):
+                ids = batch[name].to_numpy()
+                at = ids >= 0
+                # exact below 2^53
+                sums[start : start + width] += np.bincount(ids[at], x[at], width).astype(np.int64)
+        there = np.flatnonzero(sums).astype(_U)
+        ends = np.searchsorted(there, np.arange(17) * step)
+        yield _blobs([(i, 0, b - a, 0, _pack(there[a:b], sums[there[a:b]])) for i, (a, b) in enumerate(zip(ends.tolist(), ends.tolist()[1:])) if a < b])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches):
+            sums = np.zeros(step, np.int64)
+            for _, n, _, blob in rows:
+                there, x = _unpack(blob, n, np.int64)
+                sums[there - _U(part * step)] += x
+            yield _blobs([(part, 0, step, 0, _pack(np.arange(step, dtype=_U), sums))])
+
+    found = _gathered(df.select(first.alias("i"), second.alias("j"), value.alias("x")).mapInArrow(send, _BLOB_KIND)).mapInArrow(add, _BLOB_KIND).toArrow()
+    out = np.zeros(16 * step)
+    for part, blob in zip(found["part"].to_pylist(), found["blob"].to_pylist()):
+        out[part * step : (part + 1) * step] = _unpack(blob, step, np.int64)[1]
+    return out[:width], out[width : 2 * width]
 
 
 def _meeting(word, other):
@@ -316,7 +526,7 @@ _HOT, _MIXED = "key bigint, c bigint, t bigint, own double", "key bigint, c bigi
 
 
 def train(bigrams: DataFrame | tuple[DataFrame, DataFrame, np.ndarray, np.ndarray], width: int, burn: int = BURN, samples: int = SAMPLES) -> tuple[DataFrame, Model]:
-    """(key, c, own) with the averaged own share of each bigram, and the model of what is left to the parent.
+    """(key, c, own, u, w) with the averaged own share of each bigram, and the model of what is left to the parent.
 
     With `bigrams` may come a table (id, n) of the cold words in them and how often each word of the lookup table is a context and a dish. A bigram
     seen once has one table in every sweep, so that only others are reseated, and words' sums come from their occurrences less what others' customers share. Bigrams of the lookup table read
@@ -330,7 +540,7 @@ def train(bigrams: DataFrame | tuple[DataFrame, DataFrame, np.ndarray, np.ndarra
         seen = materialize(seen, "bigrams")
     else:
         seen, cold = materialize(bigrams.select("key", "c", *(F.lit(None).cast("bigint").alias(i) for i in "uw")), "bigrams"), None
-        total, count = _by(seen, context, F.col("c"), width), _by(seen, dish, F.col("c"), width)
+        total, count = _by(seen, context, dish, F.col("c"), width)
     spark, model, key = seen.sparkSession, Model(width), F.col("key")
     model.total = total
     settle(spark)
@@ -344,9 +554,10 @@ def train(bigrams: DataFrame | tuple[DataFrame, DataFrame, np.ndarray, np.ndarra
 
     def sums() -> tuple[np.ndarray, np.ndarray]:
         """Tables of the lookup table's restaurants, and customers of its dishes at the top."""
-        u, w = _by(hot, context, shared, width), _by(hot, dish, shared, width)
+        both = [hot.select(context.alias("u"), dish.alias("w"), shared.alias("x"))]
         if n_cold:
-            u, w = u + _by(mixed, F.col("u"), shared, width), w + _by(mixed, F.col("w"), shared, width)
+            both.append(mixed.select("u", "w", shared.alias("x")))
+        u, w = _by(reduce(DataFrame.unionByName, both), F.col("u"), F.col("w"), F.col("x"), width)
         return total - u, count - w
 
     def reseat_cold(tops: float, stream: int) -> tuple[DataFrame, float, float]:
@@ -422,26 +633,26 @@ def train(bigrams: DataFrame | tuple[DataFrame, DataFrame, np.ndarray, np.ndarra
                 b, p = tails[-1][:2]
                 words = words.withColumns({b: (F.col("tables") * d1 + s1) / (F.col("n") + s1), p: _parent(F.col("customers"), F.col("top"), rest, every)})
         given.unpersist()
-    own = hot.select("key", "c", (F.col("own") / samples).alias("own"))
+    no_words = [F.lit(None).cast("bigint").alias(i) for i in "uw"]
+    own = hot.select("key", "c", (F.col("own") / samples).alias("own"), *no_words)
     known = spark.createDataFrame(pa.table({"i": index, "total": total}))
-    once = seen.where("c = 1").select("key", "c", F.when(key >= 0, context).alias("i")).join(F.broadcast(known), "i", "left")
-    own = own.union(once.select("key", "c", F.coalesce((1 - d1) / (F.col("total") + s1), F.lit(-1.0))))
+    once = seen.where("c = 1").select("key", "c", "u", "w", F.when(key >= 0, context).alias("i")).join(F.broadcast(known), "i", "left")
+    own = own.union(once.select("key", "c", F.coalesce((1 - d1) / (F.col("total") + s1), F.lit(-1.0)), "u", "w"))
     if n_cold:
-        own = own.union(mixed.select("key", "c", F.col("own") / samples))
+        own = own.union(mixed.select("key", "c", F.col("own") / samples, "u", "w"))
     if cold is not None:
         alone = cold.where("n = 1").select("id", "n", *(F.lit(x).alias(i) for b, p, by, pp in tails for i, x in ((b, by), (p, pp))))
         model.cold = materialize(words.select(*alone.columns).union(alone) if n_cold else alone, "cold-model")
     return own, model
 
 
-_ROW = (
-    "row bigint, doc_id {id}, held_out boolean, n_tokens bigint, n_known bigint, base double, lm double, "
-    "pairs array<bigint>, pairs_n array<bigint>, cold_u array<bigint>, cold_w array<bigint>, cold_n array<bigint>"
-)
+_ROW = "row bigint, doc_id {id}, held_out boolean, n_tokens bigint, n_known bigint, base double, lm double, " + _BLOB_KIND.replace("row", "first")
 
 
-def _read(docs: DataFrame, vocab, model, head) -> DataFrame:
-    """One row per document: sums over what the broadcast tables know, and lists of what they don't: bigrams of the lookup table by key, others by their words."""
+def _read(docs: DataFrame, vocab, model, head, parts: Parts) -> DataFrame:
+    """One row per document: sums over what the broadcast tables know. Its other bigrams stand in blobs, on rows that have a part, each for all
+    documents of a batch: kind 1 of the lookup table (mixed key, document, times), kind 2 with a cold word (-(id + 1) of the cold word, of the second if both are; the other word, whether the
+    cold one is the second, document, times). A document is its place in the batch, twice, and 1 more if held out."""
     from pyspark import TaskContext
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -450,68 +661,201 @@ def _read(docs: DataFrame, vocab, model, head) -> DataFrame:
     schema = to_arrow_schema(_parse_datatype_string(kind))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m, (head_keys, head_own) = vocab.value, model.value, head.value
+        v, m, (head_run, head_own) = vocab.value, model.value, head.value
         row = TaskContext.get().partitionId() << 40  # in the result twice that, and 1 more if held out
         log_counts = np.log10(v.counts + 1.0)
-        for doc_ids, texts in _texts(batches, _BATCH // 4):
+        for doc_ids, texts in _texts(batches):
             n = len(texts)
             ids, lengths = v.ids(texts)
             held = np.array([_held_out(d) for d in doc_ids], bool)
             of = np.repeat(np.arange(n), lengths)
             base = np.bincount(of, log_counts[np.maximum(ids, 0)], n) + np.log10(v.end + 1.0)
             known = np.bincount(of, (ids > 0).astype(float), n) + (v.end > 0)
-            lists = lambda doc, a: pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array(a, pa.int64()))
-            # bigrams once per document
             before, seq, doc = v.pairs(ids, lengths)
-            (doc, u, w), times = _unique(doc, before, seq)
-            cold = (u < 0) | (w < 0)
-            keys, key_doc, key_n = u[~cold] * v.width + w[~cold], doc[~cold], times[~cold]
-            at = np.searchsorted(head_keys, keys)
-            hit = np.zeros(len(keys), bool)
-            inside = at < len(head_keys)
-            hit[inside] = head_keys[at[inside]] == keys[inside]
-            lm = np.bincount(key_doc[hit], key_n[hit] * np.log10(head_own[at[hit]] + m.lower(keys[hit])), n)
+            cold = (before < 0) | (seq < 0)
+            # bigrams once per document; mixed keys have 37 bits at most and documents 15, of _ROWS
+            both, times = np.unique((parts.mix(before[~cold] * v.width + seq[~cold]) << _U(16)) | doc[~cold].astype(_U), return_counts=True)
+            run, doc_of = both >> _U(16), (both & _U(0xFFFF)).astype(np.int64)
+            hit = np.zeros(len(run), bool)
+            at = np.searchsorted(head_run, run)
+            inside = at < len(head_run)
+            hit[inside] = head_run[at[inside]] == run[inside]
+            lm = np.bincount(doc_of[hit], times[hit] * np.log10(head_own[at[hit]] + m.lower(parts.keys(run[hit]))), n)
             columns = [
                 pa.array(2 * np.arange(row, row + n) + held), pa.array(doc_ids, schema.field("doc_id").type), pa.array(held, pa.bool_()), pa.array(lengths + 1), pa.array(known.astype(np.int64)),
                 pa.array(base), pa.array(lm),
-                lists(key_doc[~hit], keys[~hit]), lists(key_doc[~hit], key_n[~hit]), lists(doc[cold], u[cold]), lists(doc[cold], w[cold]), lists(doc[cold], times[cold]),
             ]
-            row += n
+            columns += [pa.nulls(n, f.type) for f in schema][len(columns) :]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            place = (2 * np.arange(n) + held).astype(np.uint16)
+            run, place_of, times = run[~hit], place[doc_of[~hit]], times[~hit].astype(np.uint32)
+            out = [(part, 1, len(run[at]), 2 * row, _pack(run[at], place_of[at], times[at])) for part, at in parts.cut(run)]
+            (doc, u, w), times = _unique(doc[cold], before[cold], seq[cold])
+            second = w < 0
+            run = (-1 - np.where(second, w, u)).astype(_U)
+            order = np.argsort(run)
+            columns = [x[order] for x in (run, np.where(second, u, w), second, place[doc], times.astype(np.uint32))]
+            out += [(part, 2, len(columns[0][at]), 2 * row, _pack(*(x[at] for x in columns))) for part, at in _cut_cold(columns[0], parts.count)]
+            blobs = _blobs(out)
+            nothing = [pa.nulls(blobs.num_rows, f.type) for f in schema][: -len(_BLOBS)]
+            yield pa.RecordBatch.from_arrays([*nothing, *blobs.columns], schema=schema)
+            row += n
 
     return docs.select("doc_id", "text").mapInArrow(read, kind)
 
 
-def _pair_logs(pairs: DataFrame, model) -> DataFrame:
-    """(row, lm, count_log, known) of rows (row, key, k, own) of the lookup table, or of rows with u, w and what the model's table says of the cold ones of them, null for unknown words."""
+def _hot_logs(blobs: DataFrame, own: DataFrame, model, parts: Parts) -> DataFrame:
+    """(row, lm) by document and part, from the blobs of _read() and (key, own) of the lookup table's bigrams that are not broadcast."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches, 1 << 20):
+            run, x = parts.mix(batch["key"].to_numpy()), batch["own"].to_numpy()
+            order = np.argsort(run)
+            run, x = run[order], x[order]
+            yield _blobs([(part, 0, len(run[at]), 0, _pack(run[at], x[at])) for part, at in parts.cut(run)])
 
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in _larger(batches):
-            get = lambda name: np.asarray(batch[name].to_numpy(), float)
-            own, held = get("own"), batch["row"].to_numpy() % 2 == 1
-            if "u" in batch.column_names:
-                u, w = batch["u"].to_numpy(), batch["w"].to_numpy()
-                n = np.where(u < 0, get("n"), m.total[np.maximum(u, 0)])
-                low = np.zeros(len(u))
+        for _, rows in _by_part(batches):
+            known, run, x = [], None, None
+            for kind, n, first, blob in rows:
+                if kind == 0:
+                    known.append(_unpack(blob, n, float))
+                    continue
+                if run is None:
+                    run, x = (np.concatenate(c) for c in zip(*known)) if known else (np.zeros(0, _U), np.zeros(0))
+                    order = np.argsort(run)
+                    run, x, known = run[order], x[order], []
+                asked, place, k = _unpack(blob, n, np.uint16, np.uint32)
+                own, at = np.zeros(n), np.searchsorted(run, asked)
+                hit = np.flatnonzero(at < len(run))
+                hit = hit[run[at[hit]] == asked[hit]]
+                own[hit] = x[at[hit]]
+                keys = parts.keys(asked)
+                # what a training document has and the table lacks was seen once, there
+                once = place % 2 == 0
+                once[hit] = False
+                own[once] = (1 - DISCOUNTS[1]) / (STRENGTHS[1] + m.total[keys[once] // m.width])
+                sums = np.bincount(place, k * np.log10(own + m.lower(keys)))
+                there = np.flatnonzero(np.bincount(place))
+                yield pa.RecordBatch.from_arrays([pa.array(first + there), pa.array(sums[there])], names=["row", "lm"])
+
+    blobs = blobs.unionByName(own.select("key", "own").mapInArrow(send, _BLOB_KIND))
+    return _gathered(blobs).mapInArrow(logs, "row bigint, lm double")
+
+
+def _cold_logs(blobs: DataFrame, own: DataFrame, model, words: DataFrame, parts: Parts) -> DataFrame:
+    """(row, lm, count_log, known) by document and part, from the blobs of _read(), (key, own, u, w) of bigrams with a cold word, and the model's table of
+    cold words. Where both words are cold lm is left out; (row, u, k, own, p) stand on rows of their own, p by sample."""
+    samples = len(words.columns) // 2 - 1
+    numbers = [f"{x}{s}" for s in range(samples) for x in "bp"]
+
+    def send_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches, 1 << 20):
+            key, x, u, w = (batch[i].to_numpy() for i in ("key", "own", "u", "w"))
+            word, run = (-1 - np.where(w < 0, w, u)).astype(_U), (-1 - key).astype(_U)
+            order = np.argsort(word)
+            word, run, x, out = word[order], run[order], x[order], []
+            for part, at in _cut_cold(word, parts.count):
+                order = np.argsort(run[at])
+                out.append((part, 0, len(order), 0, _pack(run[at][order], x[at][order])))
+            yield _blobs(out)
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches, 1 << 20):
+            run = (-1 - batch["id"].to_numpy()).astype(_U)
+            order = np.argsort(run)
+            columns = [x[order] for x in (run, *(batch[i].to_numpy() for i in ("n", *numbers)))]
+            yield _blobs([(part, 1, len(columns[0][at]), 0, _pack(*(x[at] for x in columns))) for part, at in _cut_cold(columns[0], parts.count)])
+
+    def sorted_runs(runs: list, kinds: tuple) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*runs)] if runs else [np.zeros(0, k) for k in kinds]
+        order = np.argsort(columns[0])
+        return [c[order] for c in columns]
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        own_kinds, word_kinds = (float,), (np.int64, *[float] * len(numbers))
+        for _, rows in _by_part(batches):
+            known, words, met = [], [], None
+            for kind, n, first, blob in rows:
+                if kind < 2:
+                    (words if kind else known).append(_unpack(blob, n, *(word_kinds if kind else own_kinds)))
+                    continue
+                if met is None:
+                    met = sorted_runs(known, (_U, *own_kinds)), sorted_runs(words, (_U, *word_kinds))
+                    known, words = [], []
+                (keys, x), (ids, times, *values) = met
+                cold, other, second, place, k = _unpack(blob, n, np.int64, bool, np.uint16, np.uint32)
+                word = -1 - cold.astype(np.int64)
+                u, w = np.where(second, other, word), np.where(second, word, other)
+                own, asked = np.full(n, np.nan), _pair_hash(u, w)
+                at = np.searchsorted(keys, asked)
+                hit = np.flatnonzero(at < len(keys))
+                hit = hit[keys[at[hit]] == asked[hit]]
+                own[hit] = x[at[hit]]
+                at, there = np.searchsorted(ids, cold), np.zeros(n, bool)
+                inside = np.flatnonzero(at < len(ids))
+                there[inside] = ids[at[inside]] == cold[inside]
+                at = at[there]
+                count = np.zeros(n)
+                count[there] = times[at]
+                one = np.flatnonzero(other >= 0)
+                last, hot_word = second[one], other[one]
+                low, above = np.zeros(len(one)), []
                 for s, (backoff, unigram) in enumerate(zip(m.backoff, m.unigram)):
-                    b, p = get(f"b{s}"), get(f"p{s}")
                     # an unknown word has no restaurant, and as a dish the share of the base
-                    b, p = np.where(u < 0, np.where(np.isnan(b), 1.0, b), backoff[np.maximum(u, 0)]), np.where(w < 0, np.where(np.isnan(p), unigram[0], p), unigram[np.maximum(w, 0)])
-                    low += b * p / len(m.unigram)
-            else:
-                keys = batch["key"].to_numpy()
-                n, low = m.total[keys // m.width], m.lower(keys)
-            # what a training document has and the table lacks was seen once, there
-            once = (own < 0) | np.isnan(own) & ~held
-            own = np.where(once, (1 - DISCOUNTS[1]) / (STRENGTHS[1] + n), np.where(np.isnan(own), 0.0, own))
-            k, counted = get("k"), np.zeros(len(own))
-            out = {"row": batch["row"], "lm": k * np.log10(own + low), "count_log": counted, "known": counted.astype(np.int64)}
-            if "u" in batch.column_names:
-                times = get("w_n")  # a cold word's occurrences; hot ones are counted already
-                there = ~np.isnan(times)
-                out |= {"count_log": np.where(there, k * np.log10(np.where(there, times, 0) + 1), 0.0), "known": np.where(there, k, 0).astype(np.int64)}
-            yield from pa.table(out).to_batches(max_chunksize=1 << 16)
+                    b, p = np.ones(n), np.full(n, unigram[0])
+                    b[there], p[there] = values[2 * s][at], values[2 * s + 1][at]
+                    low += np.where(last, backoff[hot_word], b[one]) * np.where(last, p[one], unigram[hot_word]) / samples
+                    above.append(p)
+                lm = np.zeros(n)
+                lm[one] = k[one] * np.log10(_shares(own[one], place[one] % 2 == 1, np.where(last, m.total[hot_word], count[one])) + low)
+                # a cold word's occurrences; those of the lookup table are counted already
+                counted = second & there
+                sums = [np.bincount(place, lm), np.bincount(place, np.where(counted, k * np.log10(count + 1), 0.0)), np.bincount(place, np.where(counted, k, 0))]
+                at = np.flatnonzero(np.bincount(place))
+                out = pa.RecordBatch.from_arrays([pa.array(first + at), *(pa.array(x[at]) for x in sums[:2]), pa.array(sums[2][at].astype(np.int64))], names=_SUMS)
+                yield _filled(out, schema)
+                at = np.flatnonzero(other < 0)
+                if len(at):
+                    out = [first + place[at].astype(np.int64), u[at], k[at].astype(np.int64), own[at], *(p[at] for p in above)]
+                    yield _filled(pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["row", "u", "k", "own", *(f"p{s}" for s in range(samples))]), schema)
+
+    schema = pa.schema([("row", pa.int64()), ("lm", pa.float64()), ("count_log", pa.float64()), ("known", pa.int64()), ("u", pa.int64()), ("k", pa.int64()), ("own", pa.float64()), *((f"p{s}", pa.float64()) for s in range(samples))])
+    kind = "row bigint, lm double, count_log double, known bigint, u bigint, k bigint, own double" + "".join(f", p{s} double" for s in range(samples))
+    sent = own.select("key", "own", "u", "w").mapInArrow(send_own, _BLOB_KIND).unionByName(words.mapInArrow(send_words, _BLOB_KIND))
+    return _gathered(blobs.unionByName(sent)).mapInArrow(logs, kind)
+
+
+_SUMS = ["row", "lm", "count_log", "known"]
+
+
+def _filled(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch with nulls for the columns that it lacks."""
+    there = set(batch.schema.names)
+    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in there else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
+
+
+def _shares(own: np.ndarray, held: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Own shares where nan says that the table lacks the bigram and -1 that it was seen once; what a training document has and the table lacks was seen once, there."""
+    once = (own < 0) | np.isnan(own) & ~held
+    return np.where(once, (1 - DISCOUNTS[1]) / (STRENGTHS[1] + n), np.where(np.isnan(own), 0.0, own))
+
+
+def _both_cold(pairs: DataFrame, samples: int) -> DataFrame:
+    """(row, lm, count_log, known) of bigrams of two cold words and what the model's table says of the first, null for unknown words."""
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _larger(batches):
+            get = lambda name: np.asarray(batch[name].to_numpy(), float)
+            low = np.zeros(batch.num_rows)
+            for s in range(samples):
+                b = get(f"b{s}")
+                low += np.where(np.isnan(b), 1.0, b) * get(f"p{s}") / samples
+            k, none = get("k"), np.zeros(batch.num_rows)
+            lm = k * np.log10(_shares(get("own"), batch["row"].to_numpy() % 2 == 1, get("n")) + low)
+            yield from pa.table({"row": batch["row"], "lm": lm, "count_log": none, "known": none.astype(np.int64)}).to_batches(max_chunksize=1 << 16)
 
     return pairs.mapInArrow(logs, "row bigint, lm double, count_log double, known bigint")
 
@@ -528,29 +872,23 @@ def score(docs: DataFrame) -> DataFrame:
     own, model = train((count_bigrams(docs, vocab), cold, np.concatenate((words.counts, ends[::-1])), np.concatenate((words.counts, ends))), width)
     settle(spark)
     in_head = (F.col("key") >= 0) & (F.col("c") * BIGRAMS >= n)
-    head = own.where(in_head).select("key", "own").toArrow().sort_by("key")
+    head = own.where(in_head).select("key", "own").toArrow()
+    parts = Parts(width, max(PARTS, -(-n // READ)))
+    run, head_own = parts.mix(head["key"].to_numpy()), head["own"].to_numpy()
+    order = np.argsort(run)
     given = spark.sparkContext.broadcast(model)
-    rows = materialize(_read(docs, vocab, given, spark.sparkContext.broadcast((head["key"].to_numpy(), head["own"].to_numpy()))), "scored")
-    listed = lambda *names: rows.select("row", F.explode(F.arrays_zip(*names)).alias("x")).select("row", *(F.col(f"x.{i}").alias(i) for i in names))
-    per_row = lambda df: df.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("lm", "count_log", "known")))
-    pairs = listed("pairs", "pairs_n").select("row", F.col("pairs").alias("key"), F.col("pairs_n").alias("k"))
-    logs = _pair_logs(pairs.join(own.where((F.col("key") >= 0) & ~in_head).select("key", "own"), "key", "left"), given)
-    logs = materialize(per_row(logs), "hot-logs")
+    found = materialize(_read(docs, vocab, given, spark.sparkContext.broadcast((run[order], head_own[order])), parts), "scored")
+    rows, blobs = found.where("part IS NULL"), found.where("part IS NOT NULL").select("part", "kind", "n", F.col("first").alias("row"), "blob")
+    per_row = lambda df: df.groupBy("row").agg(*(F.sum(c).alias(c) for c in _SUMS[1:]))
+    logs = _hot_logs(blobs.where("kind = 1"), own.where((F.col("key") >= 0) & ~in_head), given, parts)
+    logs = materialize(logs.groupBy("row").agg(F.sum("lm").alias("lm"), F.lit(0.0).alias("count_log"), F.lit(0).cast("bigint").alias("known")), "hot-logs")
     settle(spark)
     if model.cold is not None:
-        pairs = listed("cold_u", "cold_w", "cold_n").select("row", F.col("cold_u").alias("u"), F.col("cold_w").alias("w"), F.col("cold_n").alias("k"))
-        samples = range(len(model.unigram))
-        above, at = model.cold.select(F.col("id").alias("w"), F.col("n").alias("w_n"), *(f"p{s}" for s in samples)), model.cold.select(F.col("id").alias("u"), "n", *(f"b{s}" for s in samples))
-        no_p = [F.lit(None).cast("bigint").alias("w_n"), *(F.lit(None).cast("double").alias(f"p{s}") for s in samples)]
-        no_b = [F.lit(None).cast("bigint").alias("n"), *(F.lit(None).cast("double").alias(f"b{s}") for s in samples)]
-        columns = ["row", "u", "w", "k", "own", *above.columns[1:], *at.columns[1:]]
-        pairs = pairs.withColumn("key", _key(F.col("u"), F.col("w"), width)).join(own.where("key < 0").select("key", "own"), "key", "left").drop("key")
-        pairs = materialize(pairs, "cold-pairs")
+        samples = len(model.unigram)
+        cold_logs = materialize(_cold_logs(blobs.where("kind = 2"), own.where("key < 0"), given, model.cold, parts), "cold-logs")
         settle(spark)
-        hot_u = pairs.where("u >= 0").join(above, "w", "left").select("*", *no_b).select(*columns)
-        hot_w = pairs.where("w >= 0").select("*", *no_p).join(at, "u", "left").select(*columns)
-        both = pairs.where("u < 0 AND w < 0").join(above, "w", "left").join(at, "u", "left").select(*columns)
-        logs = logs.union(_pair_logs(hot_u.union(hot_w).union(both), given))
+        at = model.cold.select(F.col("id").alias("u"), "n", *(f"b{s}" for s in range(samples)))
+        logs = logs.union(cold_logs.where("u IS NULL").select(*_SUMS)).union(_both_cold(cold_logs.where("u IS NOT NULL").join(at, "u", "left"), samples))
     more = per_row(logs).select(F.col("row").alias("__row"), *(F.col(c).alias(f"more_{c}") for c in ("count_log", "known", "lm")))
     out = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm").join(more, F.col("row") == F.col("__row"), "left").na.fill(0, ["more_count_log", "more_known", "more_lm"])
     base = F.col("base") + F.col("more_count_log") - F.col("n_tokens") * F.lit(float(np.log10(n + words.v + 1)))
